@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of a bounded size, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+
+
 class Written:
     """Tables written to the shared folder during one operator call; `drop` removes one that no later step reads."""
 

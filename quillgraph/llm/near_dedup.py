@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, components
+from .common import Written, bounded_batches, components
 from .words import WordHashes, sequence_hashes, split_words
 
 MISS = 1e-9
@@ -176,6 +176,7 @@ def rest(star: DataFrame, comp: DataFrame, size: DataFrame, sets: DataFrame, kep
 
 def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str, words: int, num: int, den: int, k: int, lower: bool) -> tuple[DataFrame, DataFrame]:
     """own: doc_id, n_shingles, digest; classes: digest, cid, first (smallest doc_id), component (smallest doc_id reached), keep (the component's first class)."""
+    bounded_batches(docs.sparkSession)
     t = num / den
     o = least_overlap(k, t)
     own = kept.table(sketches(docs, id_col, text_col, words, k, lower))
