@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, sharding, substring_dedup
+from . import exact_dedup, near_dedup, quality, sharding, substring_dedup
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_shard": op2_shard,
     "op3_near_dedup": op3_near_dedup,
+    "op8_quality": op8_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
