@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, topk
+from . import exact_dedup, near_dedup, packing, pii, quality, sharding, substring_dedup, topk, warc
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[F.col(f"pii.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], "text")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +49,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda p: F.concat(p["name"], F.lit(": "), p["value"]))
+    return out.select("record_id", "ts", "canonical_url", "refers_to", "refers_ts", "status", "digest", F.array_join(lines, "\n").alias("headers"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,9 +63,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_shard": op2_shard,
     "op3_near_dedup": op3_near_dedup,
+    "op4_pii": op4_pii,
     "op5_pack": op5_pack,
     "op6_topk": op6_topk,
     "op8_quality": op8_quality,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE_SQL, "op9_warc_revisits": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
