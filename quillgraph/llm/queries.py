@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, pii, quality, sharding, substring_dedup, topk, warc
+from . import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, substring_dedup, topk, warc
 from .common import table
 
 
+#: Target weights of languages.
+MIX = {"de": 0.25, "en": 0.4, "es": 0.15, "fr": 0.2}
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,6 +49,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain")).join(labels.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    out = mixing.mixing_rates(docs, labelled, MIX)
+    return out.select("doc_id", "tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(MIX))], "rate", "copies")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_pack": op5_pack,
     "op6_topk": op6_topk,
+    "op7_mix": op7_mix,
     "op8_quality": op8_quality,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_exact_dedup": op10_exact_dedup,
