@@ -9,7 +9,7 @@ A passage is a repeat if it has at least `window` words and also stands in a doc
    the other. Both sides go, as hash remainders packed per chunk and bucket (about 2 bytes a word), to the
    hash's bucket, which returns to each chunk the anchors that it shares.
 3. Extension. A chunk looks at every window that overlaps an anchor by the whole block, i.e. it extends each anchor
-   to both sides as far as a window reaches. 96-bit hashes of these windows go to their buckets with the smallest
+   to both sides as far as a window reaches. 80-bit hashes of these windows go to their buckets with the smallest
    doc_id of the chunk; a bucket returns the smallest doc_id of all chunks.
 4. Windows that start in a smaller document are covered; adjoining covered windows form the maximal repeats.
 
@@ -83,7 +83,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, rows.schema) as out:
                 out.write_batch(rows)
-            return pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getbuffer())], pa.binary())], names=["blob"])
+            return pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=6).compress(sink.getbuffer())], pa.binary())], names=["blob"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -130,12 +130,12 @@ class Words:
         return (g % np.uint64(buckets)) << np.uint64(32) | (g >> np.uint64(34)) << np.uint64(2)
 
     def long_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the `window` words from each place in `at` on: their first and last blocks overlap or adjoin."""
+        """Two independent hashes (48 and 32 bits) of the `window` words from each place in `at` on: their first and last blocks overlap or adjoin."""
         step = self.window - self.block
         a, b = self.grams(), self.grams(0x5851F42D4C957F2D)
         one = (a[at] ^ (a[at + step] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + a[at + step] * np.uint64(0xC2B2AE3D27D4EB4F)
         two = (b[at] ^ (b[at + step] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + b[at + step] * np.uint64(0xA0761D6478BD642F)
-        return one ^ (one >> np.uint64(32)), (two >> np.uint64(32)).astype(np.uint32)
+        return (one ^ (one >> np.uint64(32))) >> np.uint64(16), (two >> np.uint64(32)).astype(np.uint32)
 
 
 def _packets(at: np.ndarray) -> Iterator[tuple[int, slice]]:
