@@ -159,7 +159,7 @@ def contract_drift(drift: DataFrame) -> DataFrame:
 
 def contract_links(references: DataFrame, symbols: DataFrame, contracts: DataFrame) -> DataFrame:
     """contract, a, b, tokens, functions: an edge for each two compartments that reference a contract; a contract with one or none has b or both null."""
-    refs = references.join(symbols.select(F.col("id").alias("src"), "compartment"), "src").withColumnRenamed("dst", "contract")
+    refs = references.select("src", F.col("dst").alias("contract"), "token").join(symbols.select(F.col("id").alias("src"), "compartment"), "src")
     sides = refs.groupBy("contract", "compartment").agg(F.collect_set("token").alias("tokens"), F.countDistinct("src").alias("functions"))
     a, b = sides.toDF("contract", "a", "ta", "fa"), sides.toDF("contract", "b", "tb", "fb")
     pairs = a.join(b, "contract").where("a < b").select("contract", "a", "b", F.array_sort(F.array_union("ta", "tb")).alias("tokens"), (F.col("fa") + F.col("fb")).alias("functions"))
