@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame], list[str]]:
+    """`docs` with its columns called c0, c1, ..., so that none clashes with a name used inside; a function that takes a frame with these
+    columns back to the old names (and adds further columns); and what the given columns are called meanwhile."""
+    old = docs.columns
+    back = lambda df, *more: df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(old)], *more)
+    return docs.toDF(*[f"c{i}" for i in range(len(old))]), back, [f"c{old.index(n)}" for n in names]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches for Python workers of a bounded size, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

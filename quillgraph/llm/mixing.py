@@ -4,12 +4,12 @@
    their ids. It gives every document a posterior p over the domains; t is its number of tokens (words).
 2. Rates r >= least are fitted by projected-gradient least squares so that sum(r * t * p) is the target of each domain. A step is
    r <- max(least, r - p . y) with y = H^-1 (sum(r t p) - target) and H = sum(t p p'): the gradient in the metric that gives
-   equal documents of any length equal rates. Each step is one aggregation to a handful of numbers; rates are an expression of p and the
-   steps so far, written out every FOLD steps.
+   equal documents of any length equal rates. Each step is one aggregation to a handful of numbers; rates are a fold of p over the
+   steps so far, written out every FOLD steps. Steps end when targets are met to TOLERANCE, or three in a row bring less than a tenth.
 3. `copies` are the rate's whole part, and one more with a probability of its fraction, by a hash of the row.
 
-Targets are weights times `total` tokens (by default those that there are); with total='cover' the total is the least for which no domain
-need shrink, so with least=1 every document stays.
+Targets are weights times `total` tokens (by default those that there are); with total='cover' the total is COVER times the least for which no
+domain need shrink, so with least=1 every document stays. (COVER leaves room for documents that belong to several domains.)
 
 Defined results: null and empty texts have no tokens, the prior as posterior, and take part in no sum. Domains without any posterior mass can't be filled;
 the others still reach their targets. Labels outside the weights are not read. Without labelled rows every posterior is uniform. Repeated rows get
@@ -25,13 +25,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, numbered
 
 MAX_LABELLED = 4_000
 BUCKETS = 4_096
 FOLD = 12
 MAX_STEPS = 60
 TOLERANCE = 1e-6
+COVER = 1.1
 
 
 def _words(text: Column) -> Column:
@@ -68,11 +69,11 @@ def with_posteriors(docs: DataFrame, model, domains: list[str], text_col: str =
 
 
 def rate(start: Column, steps: list[np.ndarray], posterior: str, least: float) -> Column:
-    out = start
-    for y in steps:
-        move = sum((F.get(posterior, F.lit(i)) * F.lit(float(v)) for i, v in enumerate(y)), F.lit(0.0))
-        out = F.greatest(F.lit(float(least)), out - move)
-    return out
+    if not steps:
+        return start
+    moves = F.lit([[float(v) for v in y] for y in steps])
+    dot = lambda y: F.aggregate(F.zip_with(y, F.col(posterior), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(moves, start, lambda r, y: F.greatest(F.lit(float(least)), r - dot(y)))
 
 
 def fit_rates(table: DataFrame, weights: list[float], kept: Written, total: float | str | None = None, least: float = 0.0, tokens: str = "tokens", posterior: str = "posterior") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -87,17 +88,18 @@ def fit_rates(table: DataFrame, weights: list[float], kept: Written, total: floa
     w = np.array(weights, float) / sum(weights)
     some = now > 0
     if total == "cover":
-        total = float(max([now.sum(), *(now[some & (w > 0)] / w[some & (w > 0)])]))
+        total = COVER * float(max([now.sum(), *(now[some & (w > 0)] / w[some & (w > 0)])]))
     target = w * (now.sum() if total is None else total)
     inverse = np.linalg.pinv(h, rcond=1e-12)
     steps: list[np.ndarray] = []
-    rows, folded, best = table.select(tokens, posterior, F.lit(1.0).alias("__r")), 0, np.inf
+    rows, folded, best, idle = table.select(tokens, posterior, F.lit(1.0).alias("__r")), 0, np.inf, 0
     for _ in range(MAX_STEPS):
         gap = now - target
         size = float(np.abs(gap[some]).max(initial=0) / max(1.0, target.max(initial=1.0)))
-        if size < TOLERANCE or size > best * (1 - 1e-4):
+        idle = idle + 1 if size > 0.9 * best else 0
+        if size < TOLERANCE or idle >= 3:
             break
-        best = size
+        best = min(best, size)
         steps.append(inverse @ gap)
         if len(steps) - folded > FOLD:
             rows = kept.table(rows.withColumn("__r", rate(F.col("__r"), steps[folded:-1], posterior, least)))
@@ -129,9 +131,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total
     model = fit(docs, labelled, domains)
     table = kept.table(with_posteriors(docs.select("text"), model, domains).select("tokens", "posterior"))
     steps, _, _ = fit_rates(table, [weights[d] for d in domains], kept, total, least)
-    rows = with_posteriors(docs, model, domains, tokens="__tokens", posterior="__posterior")
-    n = copies(rate(F.lit(1.0), steps, "__posterior", least), F.col("doc_id"))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*keep, F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(0)).cast("int"))).alias("__copy")).select(*keep) if least >= 1 else (
-        rows.withColumn("__n", n).where("__n > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")).select(*keep)
-    )
+    docs, back, (id_col, text_col) = numbered(docs, "doc_id", "text")
+    rows = with_posteriors(docs, model, domains, text_col).withColumn("rate", rate(F.lit(1.0), steps, "posterior", least))
+    rows = rows.withColumn("n", copies(F.col("rate"), F.col(id_col)).cast("int"))
+    return back(rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("copy")))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, bounded_batches, components
+from .common import Written, bounded_batches, components, numbered
 from .words import WordHashes, sequence_hashes, split_words
 
 MISS = 1e-9
@@ -229,6 +229,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, k: int = 64, lower: bool = True) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each group, and all without words."""
     kept = Written(docs.sparkSession, "near")
+    docs, back, (id_col, text_col) = numbered(docs, id_col, text_col)
     _, classes = classes_and_links(docs, kept, id_col, text_col, words, num, den, k, lower)
     first = classes.where("keep").select(F.col("digest").alias("__d"), F.col("first").alias("__first"))
     rows = with_digest(docs, text_col, words, lower, "__digest")
@@ -236,8 +237,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.where("__digest IS NULL OR __d IS NOT NULL")
     again = rows.where("__digest IS NOT NULL").groupBy("__digest").count().where("count > 1")
     if again.isEmpty():
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        return back(rows)
+    packed = F.struct(*docs.columns)
     alone = rows.where("__digest IS NULL").select(packed.alias("row"))
     one = rows.where("__digest IS NOT NULL").groupBy("__digest").agg(F.first(packed).alias("row")).select("row")
-    return alone.union(one).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return back(alone.union(one).select("row.*"))

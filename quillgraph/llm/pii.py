@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, numbered
 
 MAX_INLINE = 10_000
 MAX_ROUNDS = 40
@@ -197,10 +197,8 @@ def pseudonymize(docs: DataFrame, key: str = "quillgraph", text_col: str = "text
     kept = Written(docs.sparkSession, "pii")
     table = assigned(entities(docs, text_col), key, kept)
     odd = [r for r in table.where("attempt > 0").select(F.concat_ws(":", "kind", "norm"), "attempt").limit(max_inline + 1).collect()]
-    docs = docs.drop(counts_col)
-    text = F.col(f"`{text_col}`")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = [c for c in docs.columns if c != text_col]
+    docs, back, (text_col,) = numbered(docs.drop(counts_col), text_col)
+    text, columns = F.col(text_col), docs.columns
     if len(odd) <= max_inline:
         more = F.from_json(F.lit(json.dumps(dict(map(tuple, odd)))), "map<string,int>")
 
@@ -221,5 +219,4 @@ def pseudonymize(docs: DataFrame, key: str = "quillgraph", text_col: str = "text
     kinds = F.transform(F.col("__m"), kind_of)
     count = lambda kind: F.coalesce(F.size(F.filter(kinds, lambda x: x == kind)), F.lit(0))
     number = [count(k).alias(k) for k in KINDS]
-    out = out.select(*[F.col(f"`{c}`") for c in rest], new.alias("__new"), F.struct(*number).alias(counts_col))
-    return out.select(*[F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], counts_col)
+    return back(out.select(*[new.alias(c) if c == text_col else c for c in columns], F.struct(*number).alias("__n")), F.col("__n").alias(counts_col))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, numbered
 
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
 THRESHOLD = 0.7
@@ -161,4 +161,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with all their columns."""
-    return scored(docs, fit(docs, labels), name="__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    model = fit(docs, labels)
+    docs, back, (text,) = numbered(docs, "text")
+    return back(scored(docs, model, text).where(F.col("score") >= THRESHOLD))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written
+from .common import Written, numbered
 
 MAX_PARTITIONS = 65_536
 BLOCK_ROWS = 1024
@@ -68,7 +68,7 @@ def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> list
 def shard_rows(docs: DataFrame, shards: int, seed: int = 17, stable: bool = False) -> DataFrame:
     """All rows of `docs` with `shard` (counts at most one apart) and `slot` (gapless from 0 in each shard)."""
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot")
+    docs, back, _ = numbered(docs.drop("shard", "slot"))
     if not stable:
         docs = Written(spark, "shards").table(docs)
     docs = docs.coalesce(MAX_PARTITIONS)
@@ -92,4 +92,4 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 17, stable: bool = Fals
     starts = Written(spark, "shards").table(counts.select("shard", "__b", first.alias("__first")))
     place = F.row_number().over(Window.partitionBy("shard", "__b").orderBy(F.xxhash64("__h"), "__p", "__r"))
     out = dealt.withColumn("__i", place).join(starts, ["shard", "__b"])
-    return out.select(*docs.columns, "shard", (F.col("__first") + F.col("__i") - 1).alias("slot"))
+    return back(out, "shard", (F.col("__first") + F.col("__i") - 1).alias("slot"))
