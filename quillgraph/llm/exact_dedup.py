@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Written
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
-BOUNDARY = r"[a-h][i-t][a-h]\s"
+BOUNDARY = r"(?:[abcdehjlnpruwy02468][acefhkmnsuxz13579][abcdehjlnpruwy02468]\s|[\n\u3001\u3002\uff0c])"
 #: Up to so many ambiguous identifiers are inlined as literals; beyond it, recipes hold the chunks themselves.
 MAX_INLINE = 1000
 

@@ -155,7 +155,10 @@ def test_mixing_edge_cases(docs, rows, none, spark):
     got = mixing.mixing_rates(docs, empty, {"a": 1, "b": 3}).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and {tuple(r["posterior"]) for r in got} == {(0.5, 0.5)}
     some = spark.createDataFrame([(1, "b"), (2, "b"), (3, "zzz"), (None, "a")], "id long, domain string")
-    assert all(r["posterior"][1] > 0.99 for r in mixing.mixing_rates(docs, some, {"a": 1, "b": 3, "c": 1}).collect())
+    assert {tuple(r["posterior"]) for r in mixing.mixing_rates(docs, some, {"a": 1, "b": 3, "c": 1}).collect()} == {(0.0, 1.0, 0.0)}
+    two = spark.createDataFrame([(1, "b"), (2, "c")], "id long, domain string")
+    got = [r["posterior"] for r in mixing.mixing_rates(docs, two, {"a": 1, "b": 3, "c": 1}).collect()]
+    assert all(p[0] == 0 and abs(sum(p) - 1) < 1e-9 for p in got)
     assert mixing.mixing_rates(none, empty, {"a": 1}).count() == mixing.mixed(none, empty, {"a": 1}).count() == 0
     assert mixing.mixed(docs, some, {"a": 1, "b": 3}).columns == docs.columns
 

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, name):
     for t in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df, rel = queries.QUERIES[name](spark, DIR), con.sql(queries.ORACLE_SQL[name])
-    pick = lambda rows, columns: sorted(tuple(r[columns.index(c)] for c in sorted(columns)) for r in rows)
+    pick = lambda rows, columns: [tuple(r[columns.index(c)] for c in sorted(columns)) for r in rows]
     assert sorted(df.columns) == sorted(rel.columns)
     assert sorted(pick(map(tuple, df.collect()), df.columns), key=str) == sorted(pick(rel.fetchall(), rel.columns), key=str)
 
