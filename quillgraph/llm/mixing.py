@@ -5,14 +5,16 @@
 2. Rates r >= least are fitted by projected-gradient least squares so that sum(r * t * p) is the target of each domain. A step is
    r <- max(least, r - p . y) with y = H^-1 (sum(r t p) - target) and H = sum(t p p'): the gradient in the metric that gives
    equal documents of any length equal rates. Each step is one aggregation to a handful of numbers; rates are a fold of p over the
-   steps so far, written out every FOLD steps. Steps end when targets are met to TOLERANCE, or three in a row bring less than a tenth.
+   steps so far, written out every FOLD steps. H is taken over the documents above `least`, which alone can give way; a step that
+   makes things worse is taken back and taken again with H over all. Steps end when targets are met to TOLERANCE, or bring too little.
 3. `copies` are the rate's whole part, and one more with a probability of its fraction, by a hash of the row.
 
 Targets are weights times `total` tokens (by default those that there are); with total='cover' the total is COVER times the least for which no
 domain need shrink, so with least=1 every document stays. (COVER leaves room for documents that belong to several domains.)
 
 Defined results: null and empty texts have no tokens, the prior as posterior, and take part in no sum. Domains without any posterior mass can't be filled;
-the others still reach their targets. Labels outside the weights are not read. Without labelled rows every posterior is uniform. Repeated rows get
+the others still reach their targets. Labels outside the weights are not read. Domains without labelled rows get no mass;
+without any labelled row every posterior is uniform. Repeated rows get
 equal rates and copies. An empty table gives an empty result. Added columns replace input columns of the same name.
 """
 
@@ -45,26 +47,31 @@ def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text"):
-    """A classifier from `labelled` (id, domain); None if no labelled document is there."""
-    index = F.coalesce(*[F.when(F.col("domain") == d, float(i)) for i, d in enumerate(domains)])
+    """A classifier from `labelled` (id, domain) and the domains it knows, of which there may be one only (without a classifier) or none."""
+    index = F.coalesce(*[F.when(F.col("domain") == d, i) for i, d in enumerate(domains)])
     some = labelled.where(F.col("id").isNotNull()).select("id", index.alias("__label")).where("__label IS NOT NULL")
     some = some.groupBy("id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(MAX_LABELLED)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("text", "__label")
-    rows = _hashed(rows, "text").select("__label", "__tf")
-    return None if rows.isEmpty() else NaiveBayes(featuresCol="__tf", labelCol="__label", smoothing=0.5).fit(rows)
+    known = sorted(r[0] for r in rows.select("__label").distinct().collect())
+    if len(known) < 2:
+        return None, known
+    place = F.coalesce(*[F.when(F.col("__label") == k, float(i)) for i, k in enumerate(known)])
+    rows = _hashed(rows, "text").select(place.alias("__label"), "__tf")
+    return NaiveBayes(featuresCol="__tf", labelCol="__label", smoothing=0.5).fit(rows), known
 
 
 def with_posteriors(docs: DataFrame, model, domains: list[str], text_col: str = "text", tokens: str = "tokens", posterior: str = "posterior") -> DataFrame:
     """`docs` with the number of tokens and the array of posteriors in the order of `domains`."""
     docs = docs.drop(tokens, posterior)
     n = len(domains)
-    uniform = F.array(*[F.lit(1.0 / n)] * n)
+    model, known = model
     keep = [F.col(f"`{c}`") for c in docs.columns]
     if model is None:
-        return docs.select(*keep, F.size(_words(F.col(f"`{text_col}`"))).cast("long").alias(tokens), uniform.alias(posterior))
+        flat = F.array(*[F.lit(float(i in known) if known else 1.0 / n) for i in range(n)])
+        return docs.select(*keep, F.size(_words(F.col(f"`{text_col}`"))).cast("long").alias(tokens), flat.alias(posterior))
     model = model.copy().setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("")
     found = model.transform(_hashed(docs, text_col)).withColumn("__p", vector_to_array("__p"))
-    at = lambda i: F.coalesce(F.get("__p", F.lit(i)), F.lit(0.0))  # noqa: E731  # domains after the last labelled one have no mass
+    at = lambda i: F.get("__p", F.lit(known.index(i))) if i in known else F.lit(0.0)
     return found.select(*keep, F.size("__words").cast("long").alias(tokens), F.array(*[at(i) for i in range(n)]).alias(posterior))
 
 
@@ -81,31 +88,47 @@ def fit_rates(table: DataFrame, weights: list[float], kept: Written, total: floa
     n = len(weights)
     p = [F.get(posterior, F.lit(i)) for i in range(n)]
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = table.agg(*[F.coalesce(F.sum(F.col(tokens) * p[i]), F.lit(0.0)) for i in range(n)], *[F.coalesce(F.sum(F.col(tokens) * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
-    now, h = np.array(sums[:n], float), np.zeros((n, n))
-    for (i, j), v in zip(pairs, sums[n:], strict=True):
-        h[i, j] = h[j, i] = v
+
+    def sums(rows: DataFrame, r: Column) -> tuple[np.ndarray, np.ndarray]:
+        """sum(r t p), and sum(t p p') of rows that can give way."""
+        t = F.col(tokens)
+        free = F.when(r > least, t).otherwise(0.0)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        got = rows.agg(*[total(t * p[i] * r) for i in range(n)], *[total(free * p[i] * p[j]) for i, j in pairs]).first()
+        h = np.zeros((n, n))
+        for (i, j), v in zip(pairs, got[n:], strict=True):
+            h[i, j] = h[j, i] = v
+        return np.array(got[:n], float), h
+
+    one = F.lit(1.0)
+    now, h = sums(table, one)
+    _, whole = sums(table, F.lit(least + 1.0))
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9)
     w = np.array(weights, float) / sum(weights)
     some = now > 0
     if total == "cover":
         total = COVER * float(max([now.sum(), *(now[some & (w > 0)] / w[some & (w > 0)])]))
     target = w * (now.sum() if total is None else total)
-    inverse = np.linalg.pinv(h, rcond=1e-12)
+    miss = lambda x: float(np.linalg.norm((x - target)[some]) / max(1.0, target.max(initial=1.0)))
     steps: list[np.ndarray] = []
-    rows, folded, best, idle = table.select(tokens, posterior, F.lit(1.0).alias("__r")), 0, np.inf, 0
+    rows, folded, idle, safe = table.select(tokens, posterior, one.alias("__r")), 0, 0, False
     for _ in range(MAX_STEPS):
-        gap = now - target
-        size = float(np.abs(gap[some]).max(initial=0) / max(1.0, target.max(initial=1.0)))
-        idle = idle + 1 if size > 0.9 * best else 0
-        if size < TOLERANCE or idle >= 3:
+        size = miss(now)
+        if size < TOLERANCE or idle >= 4:
+            break
+        step = inverse(whole if safe else h) @ (now - target)
+        if len(steps) - folded >= FOLD:
+            rows = kept.table(rows.withColumn("__r", rate(F.col("__r"), steps[folded:], posterior, least)))
+            folded = len(steps)
+        new, new_h = sums(rows, rate(F.col("__r"), [*steps[folded:], step], posterior, least))
+        if miss(new) < size:
+            idle = idle + 1 if miss(new) > 0.98 * size else 0
+            steps.append(step)
+            now, h, safe = new, new_h, False
+        elif safe:
             break
-        best = min(best, size)
-        steps.append(inverse @ gap)
-        if len(steps) - folded > FOLD:
-            rows = kept.table(rows.withColumn("__r", rate(F.col("__r"), steps[folded:-1], posterior, least)))
-            folded = len(steps) - 1
-        r = rate(F.col("__r"), steps[folded:], posterior, least)
-        now = np.array(rows.agg(*[F.sum(F.col(tokens) * p[i] * r) for i in range(n)]).first(), float)
+        else:
+            safe = True
     return steps, now, target
 
 
