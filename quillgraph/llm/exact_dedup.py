@@ -71,6 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     own = kept.table(own.withColumn("tag", F.monotonically_increasing_id()))
     groups = own.groupBy("recipe").agg(F.max(_rank(F.col("doc_id"), F.col("tag"))).alias("top"), F.count("*").alias("group_size"))
+    groups = kept.table(groups)  # so that both sides of the join are dealt anew and a group of very many copies can be split
     return own.join(groups, "recipe").select("doc_id", F.col("top.id").alias("keep_id"), "group_size", (F.col("tag") == F.col("top.tag")).alias("kept"), "text_sha256")
 
 
