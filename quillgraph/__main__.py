@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import drawing, usage
 from .operators.linearize import Options
@@ -17,7 +19,7 @@ from .sources import snapshot, specs, state, tree, usagelog
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="quillgraph")
-    ap.add_argument("command", choices="build update stats status find source callees callers path contract sql linearize gexf html seams apply-seams link unlink links former forget posture init usage scope".split())
+    ap.add_argument("command", choices="build update stats status find source callees callers path contract sql linearize gexf html seams apply-seams link unlink links former forget posture init usage global-usage scope".split())
     ap.add_argument("args", nargs="*")
     ap.add_argument("--project", default=os.getcwd())
     for name in ("compartment", "file", "token", "server", "mode", "contract"):
@@ -46,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("quillgraph").getOrCreate()
         if o.command == "build":
             state.update(project)
+            state.register(project)
             snapshot.write(folder, build.build(spark, project, roots, o.server), members=roots[1:])
             print(Engine.open(spark, project).graph_stats())
         elif o.command == "update":
@@ -56,7 +59,13 @@ def main(argv: list[str] | None = None) -> int:
             print(flags)
         elif o.command == "usage":
             log = usagelog.read_usage(spark, os.path.join(folder, "usage.jsonl"))
-            print(usage.summary(log).first().asDict() | {"recurring": usage.read_residency(usage.from_log(log)).agg({"recurring": "sum"}).first()[0]})
+            patterns = log.where("kind = 'grep' AND pattern IS NOT NULL").select("pattern")
+            gap = usage.adoption_gap(patterns, snapshot.read(spark, folder)["symbols"]).agg({"n": "sum"}).first()[0] if snapshot.current(folder) else 0
+            print(usage.report(usage.summary(log).first().asDict(), usage.read_residency(usage.from_log(log)).agg({"recurring": "sum"}).first()[0], gap or 0))
+        elif o.command == "global-usage":
+            logs = [(p, path) for p in state.registered() if os.path.exists(path := os.path.join(state.folder(p), "usage.jsonl"))]
+            parts = [usagelog.read_usage(spark, path).withColumn("project", F.lit(os.path.basename(p))) for p, path in logs]
+            print(usage.global_report(usage.by_project(reduce(DataFrame.unionByName, parts)).collect() if parts else []))
         else:
             e = Engine.open(spark, project)
             if o.command in ("gexf", "html"):
@@ -67,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
                 seams = build.infer_seams(e.tables)
                 print(specs.format_seams(seams))
                 if o.command == "apply-seams":
-                    specs.apply(specs.synthesize(seams), os.path.join(project, "contracts", "inferred.asyncapi.yaml"), os.path.join(folder, "backups"))
+                    specs.apply(specs.synthesize(seams), os.path.join(specs.contracts_home(project), "inferred.asyncapi.yaml"), os.path.join(folder, "backups"))
             else:
                 print({
                     "stats": e.graph_stats, "status": e.graph_status, "find": lambda: "\n".join(f"[{r['compartment']}] {r['file']}:{r['start_line']} {r['kind']} {r['name']}" for r in e.find_symbol(a[0], o.compartment).collect()),

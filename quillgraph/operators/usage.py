@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_identifier
+from ..functions.predicates import est_tokens, is_identifier
 
 CACHE_SHARE = 0.1
 EVENTS_PER_BLOCK = 50_000
@@ -33,7 +33,7 @@ def _residency(events: DataFrame, keys: list[str], width: int, origin: int) -> D
     ahead = Window.partitionBy(*keys).orderBy(F.desc("block")) if keys else Window.orderBy(F.desc("block"))
     heads = heads.withColumn("ahead", F.min("head").over(ahead.rowsBetween(Window.unboundedPreceding, -1))).drop("head")
     counts = counts.join(heads, [*keys, "block"])
-    counts = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))  # one row
+    counts = counts.join(total, keys) if keys else counts.withColumn("total", F.lit((total.first() or [0])[0]))
     end = F.coalesce("next.turns", "ahead.turns", "total")
     counts = counts.select(*keys, "t", F.greatest(F.lit(0), end - F.col("upto")).alias("residency"))
     return spots.where("kind = 'read'").join(counts, [*keys, "t"])
@@ -81,8 +81,42 @@ def by_project(logs: DataFrame) -> DataFrame:
     return logs.rollup("project").agg(F.count("*").alias("events"), F.coalesce(F.sum("savedTokens"), F.lit(0)).alias("saved_tokens")).where("events > 0")
 
 
+def gap_tokens(gap: DataFrame, sources: DataFrame) -> DataFrame:
+    """The gap with the estimated tokens of each file (path, content) that a search led to; null where the file is not known."""
+    return gap.join(sources.select(F.col("path").alias("file"), est_tokens(F.col("content")).alias("tokens")), "file", "left").select("pattern", "n", "file", (F.col("n") * F.col("tokens")).alias("tokens"))
+
+
 def adoption_gap(patterns: DataFrame, symbols: DataFrame) -> DataFrame:
     """pattern, n, file: searches for bare identifiers that are known symbols, with the first symbol's file."""
     asked = patterns.where(is_identifier(F.col("pattern"))).groupBy("pattern").agg(F.count("*").alias("n"))
     known = symbols.where("kind <> 'module'").groupBy(F.col("name").alias("pattern")).agg(F.min(F.struct("compartment", "file")).alias("at"))
     return asked.join(known, "pattern").select("pattern", "n", F.concat_ws("/", "at.compartment", "at.file").alias("file"))
+
+
+#: Tokens that a traced symbol would have cost if walked to by hand (an assumption, shown apart from what is measured).
+TOKENS_PER_NODE = 120
+
+
+def report(totals: dict, recurring: float | None = None, gap: int = 0) -> str:
+    """A summary for people of one row of `summary`."""
+    if not totals["events"]:
+        return "No use recorded yet."
+    calls = totals["get_source_calls"] + totals["trace_calls"] + totals["other_uses"]
+    out = [
+        "Measured use (a local estimate from text lengths, not billed tokens)", f"  tool calls: {calls:,}",
+        f"  source reads: {totals['get_source_calls']:,}, about {totals['saved_tokens']:,} tokens less than whole files",
+        f"  traces: {totals['trace_calls']:,} over {totals['trace_nodes']:,} symbols (by hand perhaps {totals['trace_nodes'] * TOKENS_PER_NODE:,} tokens)",
+        f"  searches: {totals['greps']:,}, of which {gap:,} for known symbols",
+    ]
+    if totals["turns"] and recurring is not None:
+        out.append(f"  with later turns: about {round(recurring):,} tokens ({totals['turns']:,} turns, {totals['boundaries']:,} boundaries)")
+    return "\n".join(out)
+
+
+def global_report(rows: list) -> str:
+    """A summary for people of the rows of `by_project`, most saved first."""
+    own = sorted((r for r in rows if r["project"] is not None), key=lambda r: (-r["saved_tokens"], r["project"]))
+    total = next((r for r in rows if r["project"] is None), None)
+    if not total:
+        return "No use recorded yet."
+    return "\n".join([*(f"  {r['project']}: {r['saved_tokens']:,} tokens in {r['events']:,} events" for r in own), f"  all: {total['saved_tokens']:,} tokens in {total['events']:,} events"])

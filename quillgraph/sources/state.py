@@ -131,3 +131,28 @@ def preview_link(a: str, b: str) -> dict:
 def preview_unlink(a: str, b: str) -> dict:
     real = os.path.realpath(b)
     return {"linked": real in ((load(a) or {}).get("links") or []), "members": [m for m in member_roots(a) if m != real]}
+
+
+def registry_path(home: str | None = None) -> str:
+    return os.path.join(home or os.path.expanduser("~"), FOLDER, "projects.json")
+
+
+def registered(home: str | None = None) -> list[str]:
+    """Known projects that still exist."""
+    try:
+        with open(registry_path(home), encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return []
+    return [p for p in found if os.path.isdir(p)] if isinstance(found, list) else []
+
+
+def register(project: str, home: str | None = None) -> list[str]:
+    path, known = registry_path(home), registered(home)
+    real = os.path.realpath(project)
+    known = sorted({*known, real})
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path + ".new", "w", encoding="utf-8") as f:
+        json.dump(known, f, indent=2)
+    os.replace(path + ".new", path)
+    return known

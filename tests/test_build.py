@@ -195,11 +195,21 @@ def test_usage_log(spark, tmp_path, monkeypatch):
     assert not usagelog.append_event(path, "turn", "balanced")
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_registry(tmp_path):
+    a = put(tmp_path / "a", {"f.py": ""})
+    assert state.registered(str(tmp_path)) == [] and state.register(a, str(tmp_path)) == [a] == state.register(a, str(tmp_path))
+    assert specs.contracts_home(a) == os.path.join(a, "contracts")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path))
     root = put(tmp_path / "prog", C_TREE)
     run = lambda *a: (main([*a, "--project", root]), capsys.readouterr().out)[1]
     assert "Symbol: 11" in run("build") and "far_off" in run("callees", "start") and "[prog] util.c:1 function leaf" in run("find", "leaf")
     assert "structural_drift" in run("update", os.path.join(root, "util.c")) and "2 hop(s)" in run("path", "start", "leaf")
     main(["gexf", str(tmp_path / "x.gexf"), "--mode", "all", "--project", root])
     assert "start" in (tmp_path / "x.gexf").read_text()
+    with open(os.path.join(root, state.FOLDER, "usage.jsonl"), "w") as f:
+        f.write('{"t": 1, "kind": "use", "tool": "get_source", "savedTokens": 50, "sessionId": "s"}\n{"t": 2, "kind": "turn", "sessionId": "s"}\n{"t": 3, "kind": "grep", "pattern": "leaf"}\n')
+    assert "about 55 tokens" in (text := run("usage")) and "1 for known symbols" in text and "prog: 50 tokens in 3 events" in run("global-usage")
     assert "posture" in run("status") and run("posture", "balanced").strip() == "balanced"

@@ -179,6 +179,9 @@ def test_summary_and_gap(spark):
     assert usage.summary(log, "z").first()["events"] == 1
     pats = spark.createDataFrame([("foo",), ("foo",), ("a b",), ("nope",)], "pattern string")
     assert [tuple(r) for r in usage.adoption_gap(pats, symbols(spark, ("1", "c", "f.c", "foo"), ("2", "d", "f.c", "foo"))).collect()] == [("foo", 2, "c/f.c")]
+    gap = usage.adoption_gap(pats, symbols(spark, ("1", "c", "f.c", "foo")))
+    assert usage.gap_tokens(gap, spark.createDataFrame([("c/f.c", "abcdefg")], "path string, content string")).first()["tokens"] == 4
+    assert usage.report(r.asDict() | {"events": 0}).startswith("No use") and usage.global_report([]).startswith("No use")
     both = usage.by_project(spark.createDataFrame([("a", 10), ("a", 5), ("b", None)], "project string, savedTokens long"))
     assert {(r["project"], r["events"], r["saved_tokens"]) for r in both.collect()} == {("a", 2, 15), ("b", 1, 0), (None, 3, 15)}
 
