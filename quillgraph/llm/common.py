@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from ..tables import remember, shared_dir, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["Written", "bounded_batches", "components", "numbered", "table"]
 
 
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame], list[str]]:
@@ -42,11 +27,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Written:
-    """Tables written to the shared folder during one operator call; `drop` removes one that no later step reads."""
+    """Tables written to the shared folder during one operator call; they go when the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = remember(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
         self.n = 0
 
     def write(self, df: DataFrame, codec: str = "snappy") -> tuple[DataFrame, str]:
@@ -58,11 +43,6 @@ class Written:
     def table(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         return self.write(df, codec)[0]
 
-    def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
 
 def components(links: DataFrame, kept: Written, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of `links` (a, b) reaches.
