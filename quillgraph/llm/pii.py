@@ -1,9 +1,9 @@
 """Surrogates for personal data (DataFrame functions only).
 
-Entities are found by one pattern over the whole text: e-mail addresses, telephone numbers, payment cards (with a valid check digit),
+Entities are found by one pattern over the whole text: e-mail addresses, telephone numbers, payment cards (of a known issuer, with a valid check digit),
 IPv4 addresses, secrets (quoted hexadecimal strings, access keys) and persons named with a title. Each has a normal form, so that spellings of
 one entity share it. Its surrogate is drawn from a keyed hash of kind and normal form: the same everywhere (coreference), not to be undone
-without the key, and of the same type: letters of the same script, digits for digits, a card with its issuer digit and a valid check digit,
+without the key, and of the same type: letters of the same script, digits for digits, a card with its issuer's first digits and a valid check digit,
 an address from the reserved 240.0.0.0/4, a person with the same title, hence gender, script and number of names.
 
 Collision checks: over all distinct entities, a surrogate that two entities share or that is an entity of the corpus itself is drawn
@@ -36,6 +36,7 @@ _IP = r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _CARD = r"(?<![\p{N}.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)"
 _SECRET = r"""(?<=["'])[0-9a-fA-F]{32,128}(?=["'])|\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36}\b"""
 _PERSON = rf"(?<!\p{{L}})(?:{'|'.join((*_MALE, *_FEMALE))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+_ISSUER = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)"
 PATTERN = "|".join((_EMAIL, _PHONE, _IP, _CARD, _SECRET, _PERSON))
 
 _LATIN, _UPPER, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχω"
@@ -66,7 +67,7 @@ def _digits(v: Column) -> Column:
 def kind_of(v: Column) -> Column:
     """The kind of a match; null if it is none after all."""
     octets = F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255)
-    card = let(_digits(v), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & (_luhn(d, False) % 10 == 0))
+    card = let(_digits(v), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & d.rlike(_ISSUER) & (_luhn(d, False) % 10 == 0))
     return (
         F.when(F.contains(v, F.lit("@")), "email").when(v.rlike(r"^\+"), "phone").when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.when(octets, "ip"))
         .when(v.rlike(r"^[0-9 \-]+$") & ~v.rlike(r"^[0-9]{32,}$"), F.when(card, "card")).when(v.rlike(r"^(?:[0-9a-fA-F]{32,128}|AKIA.{16}|ghp_.{36})$"), "secret").otherwise("person")
@@ -140,7 +141,8 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: Column, s: Column) ->
     same = F.substring(norm, n - 6, F.lit(3))
     exchange = F.when((same == "555") & (attempt < 8), same).otherwise(F.concat(_pick("23456789", _byte(s, 9)), number(10, 12)))
     phone = F.concat(F.substring(norm, F.lit(1), n - 10), _pick("23456789", _byte(s, 0)), number(1, 3), exchange, number(3, 7))
-    body = F.concat(F.substring(norm, 1, 1), F.substring(_shaped(norm, s), F.lit(2), n - 2))
+    issuer = F.regexp_extract(norm, _ISSUER, 1)
+    body = F.concat(issuer, F.substring(_shaped(norm, s), F.length(issuer) + 1, n - 1 - F.length(issuer)))
     card = let(body, lambda b: F.concat(b, ((10 - _luhn(b, True) % 10) % 10).cast("string")))
     ip = F.concat_ws(".", (_byte(s, 0) % 15 + 240).cast("string"), _byte(s, 1).cast("string"), _byte(s, 2).cast("string"), (_byte(s, 3) % 254 + 1).cast("string"))
     lead = F.regexp_extract(norm, "^(AKIA|ghp_)", 1)
