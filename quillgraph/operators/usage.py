@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import est_tokens, is_identifier
+from ..tables import cut
 
 CACHE_SHARE = 0.1
 EVENTS_PER_BLOCK = 50_000
@@ -20,6 +21,7 @@ def _residency(events: DataFrame, keys: list[str], width: int, origin: int) -> D
     """Reads of `events` (keys, t, kind, tag, saved) with `residency` on the timeline of their keys."""
     spots = events.withColumn("block", F.expr(f"(t - ({origin})) div {width}"))
     counts = spots.groupBy(*keys, "block", "t").agg(F.sum((F.col("kind") == "turn").cast("long")).alias("turns"), F.max((F.col("kind") == "boundary").cast("int")).alias("bound"))
+    counts = cut(counts)  # one row per time, read four times below
     inside = Window.partitionBy(*keys, "block").orderBy("t")
     counts = counts.withColumn("upto", F.sum("turns").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = counts.groupBy(*keys, "block").agg(F.sum("turns").alias("n"))
