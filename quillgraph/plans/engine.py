@@ -133,7 +133,10 @@ class Engine:
             for (c, f, line, n), ts in sorted(places.items()):
                 ts = sorted(set(ts))
                 out.append(f"  [{c}] {f}:{line} {n}: {', '.join(ts[:10])}" + (f", +{len(ts) - 10} more" if len(ts) > 10 else ""))
-        return "\n".join(out + ([] if include_tests else ["(test files left out)"]))
+        notes = [] if include_tests else ["(test files left out)"]
+        if self.meta.get("seams_stale"):
+            notes.append("note: code that refers to contracts changed its structure since they were inferred; infer them again")
+        return "\n".join(out + notes)
 
     def linearize(self, spec: str, file: str | None = None, options: Options | None = None) -> str:
         return linearize(self.tables, spec, file, options)
@@ -176,4 +179,5 @@ class Engine:
         return "\n".join(out)
 
     def query_sql(self, query: str) -> str:
-        return sqlguard.answer(self.spark, {k: v for k, v in self.tables.items()}, query)
+        meta = self.spark.createDataFrame([(k, str(v)) for k, v in sorted(self.meta.items())], "key string, value string")
+        return sqlguard.answer(self.spark, self.tables | {"meta": meta}, query)

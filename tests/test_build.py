@@ -74,6 +74,7 @@ def test_engine_text(spark, c_graph):
     assert "CALLS: 5" in e.graph_stats() and "Contract" not in e.graph_stats()
     assert json.loads(e.query_sql("select count(*) n from symbols where name = 'twin';")) == [{"n": 2}]
     assert e.find_symbol("twin").count() == 2
+    assert json.loads(Engine(spark, c_graph, meta={"version": 1}).query_sql("select value from meta")) == [{"value": "1"}]
 
 
 def test_incremental_equals_full(spark, tmp_path):
@@ -100,6 +101,7 @@ def test_contracts_end_to_end(spark, shop, shop_graph):
     seams = {(s["kind"], s["token"], tuple(s["in_compartments"]), tuple(s["out_compartments"])) for s in build.infer_seams(shop_graph)}
     assert seams == {("wire", "/api/orders", ("server",), ("client",)), ("message", "order.created", ("client",), ("server",)), ("state", "ORDER_REGION_KEY", (), ())}
     text = Engine(spark, shop_graph).trace_contract("ORD")
+    assert "infer them again" in Engine(spark, shop_graph, meta={"seams_stale": True}).trace_contract("orders") and "No contract" in Engine(spark, shop_graph).trace_contract("nope")
     assert "1/3 tokens satisfied, 0 one-sided, 2 unreferenced DRIFT" in text and "unreferenced: legacy_slot_id" in text
     # the token's first hit in the server is in a comment, so its module refers to it
     assert ("sym:server:routes.ts:<module>:0" in {a for a, _ in edge_set(shop_graph, "REFERENCES")})
