@@ -9,7 +9,7 @@ A passage is a repeat if it has at least `window` words and also stands in a doc
    the other. Both sides go, as hash remainders packed per chunk and bucket (about 2 bytes a word), to the
    hash's bucket, which returns to each chunk the anchors that it shares.
 3. Extension. A chunk looks at every window that overlaps an anchor by the whole block, i.e. it extends each anchor
-   to both sides as far as a window reaches. 80-bit hashes of these windows go to their buckets with the smallest
+   to both sides as far as a window reaches. Hashes of these windows (72 bits and the bucket) go to their buckets with the smallest
    doc_id of the chunk; a bucket returns the smallest doc_id of all chunks.
 4. Windows that start in a smaller document are covered; adjoining covered windows form the maximal repeats.
 
@@ -37,6 +37,8 @@ from .words import WordHashes, sequence_hashes
 
 #: Stands for a null id.
 LAST = np.iinfo(np.int64).max
+#: The low bits of a window's hash choose its bucket; only the other 40 bits travel, with 32 of a second hash.
+LOW, REST = np.uint64((1 << 24) - 1), np.uint64(24)
 LEAST_CHUNK, MOST_CHUNK = 1 << 20, 64 << 20
 
 
@@ -130,12 +132,12 @@ class Words:
         return (g % np.uint64(buckets)) << np.uint64(32) | (g >> np.uint64(34)) << np.uint64(2)
 
     def long_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes (48 and 32 bits) of the `window` words from each place in `at` on: their first and last blocks overlap or adjoin."""
+        """Two independent hashes (64 and 32 bits) of the `window` words from each place in `at` on: their first and last blocks overlap or adjoin."""
         step = self.window - self.block
         a, b = self.grams(), self.grams(0x5851F42D4C957F2D)
         one = (a[at] ^ (a[at + step] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + a[at + step] * np.uint64(0xC2B2AE3D27D4EB4F)
         two = (b[at] ^ (b[at + step] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + b[at + step] * np.uint64(0xA0761D6478BD642F)
-        return (one ^ (one >> np.uint64(32))) >> np.uint64(16), (two >> np.uint64(32)).astype(np.uint32)
+        return one ^ (one >> np.uint64(32)), (two >> np.uint64(32)).astype(np.uint32)
 
 
 def _packets(at: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -223,7 +225,7 @@ def extensions(chunks: DataFrame, shared: DataFrame, window: int, block: int, bu
             at = np.flatnonzero(near)
             one, two = own.long_hashes(at)
             ids = np.array([LAST if i is None else i for i in own.ids], np.int64)[own.doc[at]]
-            bucket = one % np.uint64(buckets)
+            bucket, one = (one & LOW) % np.uint64(buckets), one >> REST
             order = np.lexsort((ids, two, one, bucket))
             one, two, ids, bucket = one[order], two[order], ids[order], bucket[order]
             new = np.ones(len(one), bool)
@@ -273,6 +275,7 @@ def removed(chunks: DataFrame, found: DataFrame, window: int, block: int) -> Dat
                 one, two, least = one[order], two[order], least[order]
                 at = np.flatnonzero(own.within(window))
                 a, b = own.long_hashes(at)
+                a >>= REST
                 some = np.isin(a, one)
                 at, a, b = at[some], a[some], b[some]
                 low, high = np.searchsorted(one, a, "left"), np.searchsorted(one, a, "right")
