@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,7 +148,3 @@ def scope(root: str) -> str:
     """What a workspace holds: MULTI (two or more repositories), SINGLE or NO-GIT."""
     n = len(find_roots(root, git_only=True))
     return "MULTI" if n >= 2 else "SINGLE" if n else "NO-GIT"
-
-
-def is_identifier(word: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z_]\w*", word))
