@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,46 +64,45 @@ def _digest(own: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, digest (16 bytes that stand for the set; null if it is empty), sketch."""
+    """doc_id, th (the text's hash), n_shingles, digest (16 bytes that stand for the set; null if it is empty), sketch."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _sets(words, lower)
         for batch in batches:
-            own = [of(t) for t in batch.column(1).to_pylist()]
+            own = [of(t) for t in batch.column(2).to_pylist()]
             low = [s[:k].view(np.int64) for s in own]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(_digest, own), pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate([*low, np.empty(0, np.int64)]))],
-                names=["doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array(map(_digest, own), pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate([*low, np.empty(0, np.int64)]))],
+                names=["doc_id", "th", "n_shingles", "digest", "sketch"],
             )
 
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    return docs.select(F.col(id_col), text_hash(text_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def with_digest(docs: DataFrame, text_col: str, words: int, lower: bool, name: str) -> DataFrame:
-    """`docs` with the digest of each row's set as column `name`."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _sets(words, lower)
-        for batch in batches:
-            found = pa.array((_digest(of(t)) for t in batch.column(at).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def full_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, words: int, lower: bool) -> DataFrame:
-    """cid, values (the sorted set, 8 bytes each) for the classes in `need` (cid, digest, first). Each needed text moves once."""
-    own = with_digest(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words, lower, "digest")
-    found = own.join(need, (own["digest"] == need["digest"]) & own["doc_id"].eqNullSafe(need["first"])).select("cid", "text")
+    """cid, values (the sorted set, 8 bytes each) for the classes in `need` (cid, digest, first, th).
+
+    A class's text is found by its id and hash, which need no shingles; only texts found are shingled, and one whose set is another (a
+    chance agreement of hashes) is left out. Each text moves once.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("own"), F.col(text_col).alias("text"))
+    found = own.join(need, (own["own"] == need["th"]) & own["doc_id"].eqNullSafe(need["first"])).select("cid", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = _sets(words, lower), set()
         for batch in batches:
-            rows = [(c, of(t).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if c not in seen and not seen.add(c)]
+            rows = []
+            for c, d, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c not in seen and _digest(own := of(t)) == d:
+                    seen.add(c)
+                    rows.append((c, own.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["cid", "values"])
 
     return found.mapInArrow(run, "cid long, values binary")
@@ -175,14 +174,15 @@ def rest(star: DataFrame, comp: DataFrame, size: DataFrame, sets: DataFrame, kep
 
 
 def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str, words: int, num: int, den: int, k: int, lower: bool) -> tuple[DataFrame, DataFrame]:
-    """own: doc_id, n_shingles, digest; classes: digest, cid, first (smallest doc_id), component (smallest doc_id reached), keep (the component's first class)."""
+    """own: doc_id, n_shingles, digest; classes: digest, first (smallest doc_id) and th (its text's hash), component (smallest doc_id reached), keep (the component's first class)."""
     bounded_batches(docs.sparkSession)
     t = num / den
     o = least_overlap(k, t)
     own = kept.table(sketches(docs, id_col, text_col, words, k, lower))
-    classes = own.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = kept.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    own = own.drop("sketch")
+    classes = own.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = classes.select("digest", F.col("one.doc_id").alias("first"), F.col("one.th").alias("th"), "n_shingles", "sketch", F.monotonically_increasing_id().alias("cid"))
+    classes = kept.table(classes)
+    own = own.drop("sketch", "th")
 
     values = classes.select("cid", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -204,16 +204,16 @@ def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str
     wide = star.groupBy("hub").count().where("count > 1").select("hub")
     wanted = star.join(wide, "hub", "left_semi").select("hub", "cid").union(near)
     wanted = wanted.select(F.explode(F.array("hub", "cid")).alias("cid")).distinct()
-    sets = kept.table(full_sets(docs, classes.join(wanted, "cid", "left_semi").select("cid", "digest", "first"), id_col, text_col, words, lower))
+    sets = kept.table(full_sets(docs, classes.join(wanted, "cid", "left_semi").select("cid", "digest", "first", "th"), id_col, text_col, words, lower))
 
     links = kept.table(verified(near, sets, num, den))
     comp = components(links, kept)
     more = kept.table(rest(star, comp, classes.select("cid", "n_shingles"), sets, kept, num, den))
     if not more.isEmpty():
         comp = components(links.union(more), kept)
-    labelled = classes.select("digest", "cid", "first").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    labelled = classes.select("digest", "cid", "first", "th").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     top = labelled.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no"), "first", "cid")).alias("top"))
-    labelled = labelled.join(top, "root").select("digest", "first", F.col("top.first").alias("component"), (F.col("cid") == F.col("top.cid")).alias("keep"))
+    labelled = labelled.join(top, "root").select("digest", "first", "th", F.col("top.first").alias("component"), (F.col("cid") == F.col("top.cid")).alias("keep"))
     return own, kept.table(labelled)
 
 
@@ -231,14 +231,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = Written(docs.sparkSession, "near")
     docs, back, (id_col, text_col) = numbered(docs, id_col, text_col)
     _, classes = classes_and_links(docs, kept, id_col, text_col, words, num, den, k, lower)
-    first = classes.where("keep").select(F.col("digest").alias("__d"), F.col("first").alias("__first"))
-    rows = with_digest(docs, text_col, words, lower, "__digest")
-    rows = rows.join(first, (rows["__digest"] == first["__d"]) & rows[f"`{id_col}`"].eqNullSafe(first["__first"]), "left")
-    rows = rows.where("__digest IS NULL OR __d IS NOT NULL")
-    again = rows.where("__digest IS NOT NULL").groupBy("__digest").count().where("count > 1")
+    first = classes.where("keep").select(F.col("th").alias("__t"), F.col("first").alias("__first"))
+    rows = docs.withColumns({"__th": text_hash(text_col), "__none": ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
+    rows = rows.join(first, (rows["__th"] == first["__t"]) & rows[id_col].eqNullSafe(first["__first"]), "left").where("__none OR __t IS NOT NULL")
+    again = rows.where("NOT __none").groupBy(id_col, "__th").count().where("count > 1")
     if again.isEmpty():
         return back(rows)
     packed = F.struct(*docs.columns)
-    alone = rows.where("__digest IS NULL").select(packed.alias("row"))
-    one = rows.where("__digest IS NOT NULL").groupBy("__digest").agg(F.first(packed).alias("row")).select("row")
+    alone = rows.where("__none").select(packed.alias("row"))
+    one = rows.where("NOT __none").groupBy(id_col, text_col).agg(F.first(packed).alias("row")).select("row")
     return back(alone.union(one).select("row.*"))
