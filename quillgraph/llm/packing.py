@@ -3,9 +3,10 @@
 1. Each text is encoded by the tokenizer file and ended by `end_id`. Texts longer than `capacity` are cut into
    pieces of `capacity` tokens, of which the first may be shorter; no other text is cut. Pieces and their ids are
    written once.
-2. Each input partition packs its pieces best-fit, longest first: a piece goes to the fullest bin that still has
-   room for it. Bins with less than `slack` tokens of room are done.
-3. The other bins become items of their fill. Groups of `fan` partitions merge, pack these items best-fit, and so
+2. Pieces are dealt by a hash to as many groups as there are input partitions, so that each sees the corpus's mix of
+   lengths, however the input is sorted. Each group packs its pieces best-fit, longest first: a piece goes to the
+   fullest bin that still has room for it. Bins with less than `slack` tokens of room are done.
+3. The other bins become items of their fill. `fan` groups merge, pack these items best-fit, and so
    on up a tree to one group. What is left then is done too. A group hands on at most `carry` bins, the
    emptiest; fuller ones beyond that are done as they are, so no task grows with the corpus.
 4. A bin merged into another keeps its pieces' order at a common offset; the merges are composed from the last round
@@ -153,7 +154,7 @@ def _round(items: DataFrame, capacity: int, slack: int, carry: int) -> DataFrame
 
 
 def places(items: DataFrame, kept: Written, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY) -> DataFrame:
-    """key, sequence_id, offset for items (g, key, length); g is the partition that packs first and must come sorted."""
+    """key, sequence_id, offset for items (g, key, length); g is the group that packs first and must come sorted."""
     rounds = [kept.table(_round(items, capacity, slack, carry))]
     top = rounds[0].agg(F.max("g")).first()[0] or 0
     while top > 0:
@@ -179,9 +180,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     kept = Written(docs.sparkSession, "packing")
     own = pieces(docs, path, capacity, end_id, id_col, text_col).select(F.monotonically_increasing_id().alias("key"), "*")
     own = kept.table(own, "zstd")
-    own_part = F.shiftright("key", 33)  # the partition that wrote the piece
-    n = own.agg(F.max(own_part)).first()[0]
-    items = own.select(own_part.alias("g"), "key", "length").repartition(min((n or 0) + 1, 10_000), "g").sortWithinPartitions("g", "length", "key")
+    n = (own.agg(F.max(F.shiftright("key", 33))).first()[0] or 0) + 1  # partitions that wrote pieces
+    group = F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(n))
+    items = own.select(group.alias("g"), "key", "length").repartition(min(n, 10_000), "g").sortWithinPartitions("g", "length", "key")
     out = own.join(places(items, kept, capacity, slack, fan, carry), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,16 @@ def test_pack(spark, docs, rows, options):
     assert len(bins) <= least * (1.05 if "carry" not in options else 1.3) + 1
 
 
+def test_pack_sorted_by_length(spark):
+    """Long texts in some partitions, short ones in others: packed nearly as by one best fit over all."""
+    rng = np.random.default_rng(4)
+    sizes = sorted([*rng.integers(35, 47, 1200).tolist(), *rng.integers(12, 25, 1300).tolist()])
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "a " * n) for i, n in enumerate(sizes)], 16), "doc_id long, text string")
+    got = packing.pack(df, PATH, capacity=64, slack=2).select("length", "sequence_id").collect()
+    bins, _, _ = packing.best_fit(np.array([r["length"] for r in got]), 64)
+    assert len({r["sequence_id"] for r in got}) <= 1.03 * len(set(bins.tolist()))
+
+
 def test_best_fit():
     bins, offsets, fill = packing.best_fit(np.array([5, 7, 3, 10, 2, 3]), 10)
     assert len(set(bins.tolist())) == 3 and sorted(set(fill.tolist())) == [10] and offsets.tolist() == [0, 0, 7, 0, 8, 5]
