@@ -165,9 +165,11 @@ def find_symbol(spark, sf_dir):
 
 
 def get_source_lines(spark, sf_dir):
-    """Every line of every document but the first and the last, numbered."""
+    """Every line of every document but the first and the last, numbered: consecutive spans of as many lines as one call gives."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
-    spans = docs.select("file", F.lit(2).cast("long").alias("start_line"), (F.size(F.split("content", "\n")) - 1).cast("long").alias("end_line"))
+    ends = docs.select("file", (F.size(F.split("content", "\n")) - 1).cast("long").alias("last")).where("last >= 2")
+    spans = ends.select("file", "last", F.explode(F.expr(f"sequence(2L, last, {lookup.MOST_LINES}L)")).alias("start_line"))
+    spans = spans.select("file", "start_line", F.least("last", F.col("start_line") + lookup.MOST_LINES - 1).alias("end_line"))
     return lookup.source_lines(docs, spans).select("file", "line", "text")
 
 

@@ -32,3 +32,11 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_source_lines_of_long_documents(spark, tmp_path):
+    sizes = {1: 1, 2: 2, 3: 3, 4: 402, 5: 403, 6: 1001}
+    rows = [(i, "\n".join(f"{i}:{k}" for k in range(1, n + 1))) for i, n in sizes.items()] + [(7, ""), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, graph.get_source_lines(spark, str(tmp_path)).collect()))
+    assert got == [(i, k, f"{i}:{k}") for i, n in sizes.items() for k in range(2, n)]
