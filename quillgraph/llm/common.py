@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..tables import remember, shared_dir, table
 
-__all__ = ["Written", "bounded_batches", "components", "numbered", "table"]
+__all__ = ["Written", "bounded_batches", "components", "joined_components", "numbered", "table"]
 
 
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame], list[str]]:
@@ -45,22 +45,22 @@ class Written:
 
 
 def components(links: DataFrame, kept: Written, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of `links` (a, b) reaches.
+    """(node, root), a written table: the smallest node that each node of `links` (a, b) reaches.
 
-    Alternating large-star and small-star rounds. A node's smallest neighbour comes from a
-    pre-aggregated groupBy and is joined back, so no neighbour list is ever collected.
+    Alternating large-star and small-star rounds. A node's smallest neighbour comes from a pre-aggregated groupBy and is joined back, so no
+    neighbour list is ever collected; it is written before, so that Spark can broadcast it or split the rows of a node with very many
+    neighbours.
     """
     edges = kept.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = kept.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = kept.table(large.where("u <> v").distinct())
+        low = kept.table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, path = kept.write(small)
+        edges = kept.table(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         got = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         now = (got[0], got[1])
         if now == before:
@@ -69,4 +69,13 @@ def components(links: DataFrame, kept: Written, max_rounds: int = 60) -> DataFra
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    return kept.table(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+
+
+def joined_components(comp: DataFrame, links: DataFrame, kept: Written) -> DataFrame:
+    """`comp` (node, root) after further links (a, b); only the components that these touch are searched."""
+    label = lambda key: comp.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
+    links = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    more = components(links, kept)
+    moved = comp.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return kept.table(moved.union(more.join(comp, "node", "left_anti").select("node", "root")))

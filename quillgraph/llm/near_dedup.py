@@ -8,8 +8,10 @@
    values of very common passages are passed over, and no list is cut.
 3. A list is not expanded into pairs. Its earliest class is the hub, and every other member is compared
    with it: first by the union sketch (the k smallest values of both), then exactly on the full sets.
-4. Members that their hub does not link may still be linked with each other. They are compared with all
-   members of their hub's family in blocks of bounded size, and one link to each component is kept.
+4. Members that their hub does not link may still be linked with each other. Where they are many, the family is dealt
+   into small blocks, compared in these, and dealt anew, in rounds. What stays apart is then compared with all members of
+   its family, in blocks of bounded size. A block returns a spanning forest of the components that it connects, never all
+   its links, and after the rounds few components are left to connect.
 5. Links are joined into components.
 
 The only step that is not exact is 2: a pair at exactly t goes unseen with a probability below
@@ -33,14 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, bounded_batches, components, numbered
+from .common import Written, bounded_batches, components, joined_components, numbered
 from .words import WordHashes, sequence_hashes, split_words
 
 MISS = 1e-9
-#: Set elements in one block of step 4 (8 bytes each).
+TOP = np.uint64(1 << 63)
+#: Set elements on one side of a block of step 4 (8 bytes each), at most; and rows on it, or twice the root of the family's size if that is more.
 BLOCK = 1_000_000
+BLOCK_ROWS = 128
 #: Members compared with one copy of their hub's set in one task.
 SALT_ROWS = 256
+#: A family with more unlinked members than this is first compared within small blocks, in so many rounds at most.
+FEW = 32
+ROUNDS = 4
 
 
 def least_overlap(k: int, t: float) -> int:
@@ -71,7 +78,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int, lo
         of = _sets(words, lower)
         for batch in batches:
             own = [of(t) for t in batch.column(2).to_pylist()]
-            low = [s[:k].view(np.int64) for s in own]
+            low = [(s[:k] ^ TOP).view(np.int64) for s in own]  # as signed numbers in the same order
             ends = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array(map(_digest, own), pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate([*low, np.empty(0, np.int64)]))],
@@ -108,11 +115,21 @@ def full_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, word
     return found.mapInArrow(run, "cid long, values binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (hub, cid) whose full sets are similar enough. A hub's set is repeated once for SALT_ROWS members."""
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    hubs = salts.join(sets.withColumnRenamed("cid", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("cid"), "values")
-    members = pairs.join(salts, "hub").join(sets, "cid").select("hub", F.expr("int(pmod(xxhash64(cid), salts))").alias("salt"), F.lit(1).alias("role"), "cid", "values")
+def estimated(pairs: DataFrame, one: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (hub, cid) whose union sketch does not rule them out; `one` has the sketches (cid, s)."""
+    o = least_overlap(k, num / den)
+    near = pairs.join(one, "cid").join(one.select(F.col("cid").alias("hub"), F.col("s").alias("h")), "hub")
+    union = F.slice(F.array_sort(F.array_union("s", "h")), 1, k)
+    near = near.select("hub", "cid", F.size(union).alias("n"), F.size(F.array_intersect(F.array_intersect(union, F.col("s")), F.col("h"))).alias("hits"))
+    return near.where(F.when(F.col("n") < k, F.col("hits") * den >= F.col("n") * num).otherwise(F.col("hits") >= o)).select("hub", "cid")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, kept: Written, num: int, den: int) -> DataFrame:
+    """The pairs (hub, cid) whose full sets are similar enough, as (a, b). A hub's set is repeated once for SALT_ROWS members."""
+    many = kept.table(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")))
+    hubs = many.join(sets.withColumnRenamed("cid", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("cid"), "values")
+    salt = F.expr("int(pmod(xxhash64(cid), coalesce(salts, 1)))")
+    members = pairs.join(many.where("salts > 1"), "hub", "left").select("hub", "cid", salt.alias("salt")).join(sets, "cid").select("hub", "salt", F.lit(1).alias("role"), "cid", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub = None, np.empty(0, np.uint64)
@@ -129,47 +146,77 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _cross(num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between the left and the right rows of one block pair: for each left row, one with each component."""
+        """A spanning forest of what the links between the left and the right rows of one block connect: components met already, within
+        the block or before, need no further link."""
+        rows = rows.sort_values("cid")  # families that share members mostly find the same links
         left, right = rows[rows.side == 0], rows[rows.side == 1]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
+            labels, codes = np.unique(np.concatenate([left.comp, right.comp]), return_inverse=True)
+            group = np.arange(len(labels))  # the least label known to be connected, for each label
+            mine_at, their_at = codes[: len(left)], codes[len(left) :]
             own = [np.frombuffer(v, np.uint64) for v in right["values"]]
             sizes = np.array([len(v) for v in own])
             values, ids = np.unique(np.concatenate(own), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            cids, comps, mark = right.cid.to_numpy(), right.comp.to_numpy(), np.zeros(len(values) + 1, np.int32)
-            for c, comp, v in zip(left.cid, left.comp, left["values"], strict=True):
+            cids, mark = right.cid.to_numpy(), np.zeros(len(values) + 1, np.int32)
+            for c, at_label, v in zip(left.cid, mine_at, left["values"], strict=True):
+                theirs = group[their_at]
+                if (theirs == group[at_label]).all():
+                    continue
                 mine = np.frombuffer(v, np.uint64)
                 at = np.searchsorted(values, mine)
                 at = at[np.append(values, 0)[at] == mine]
                 mark[at] = 1
                 both = np.add.reduceat(mark[ids], starts)
                 mark[at] = 0
-                hit = np.flatnonzero((den * both >= num * (len(mine) + sizes - both)) & (comps != comp))
-                _, one = np.unique(comps[hit], return_index=True)
-                out += [(c, x) for x in cids[hit[one]]]
+                hit = np.flatnonzero((den * both >= num * (len(mine) + sizes - both)) & (theirs != group[at_label]))
+                met, one = np.unique(theirs[hit], return_index=True)
+                if len(met):
+                    out += [(c, x) for x in cids[hit[one]]]
+                    met = np.append(met, group[at_label])
+                    group[np.isin(group, met)] = met.min()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def rest(star: DataFrame, comp: DataFrame, size: DataFrame, sets: DataFrame, kept: Written, num: int, den: int) -> DataFrame:
-    """Links between members of one hub's family that the hub itself doesn't connect."""
+def _rows(star: DataFrame, comp: DataFrame) -> DataFrame:
+    """hub, cid, comp, apart of every member of a family, its hub included. apart: not yet connected with the hub."""
     both = star.select("hub", "cid").union(star.select("hub", F.col("hub").alias("cid")).distinct())
-    labels = lambda key: comp.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
-    both = both.join(labels("cid"), "cid", "left").join(labels("hub"), "hub", "left").join(size, "cid")
-    both = both.select("hub", "cid", "n_shingles", F.coalesce("cid_root", "cid").alias("comp"), F.coalesce("hub_root", "hub").alias("own"))
-    both = kept.table(both.withColumn("apart", F.col("comp") != F.col("own")))
-    total = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int")
-    family = both.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("u"), total(F.when(F.col("apart"), F.col("n_shingles")).otherwise(0)).alias("lefts"), total("n_shingles").alias("rights")).where("n >= 3 AND u >= 1")
+    label = lambda key: comp.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
+    both = both.join(label("cid"), "cid", "left").join(label("hub"), "hub", "left")
+    both = both.select("hub", "cid", F.coalesce("cid_root", "cid").alias("comp"), F.coalesce("hub_root", "hub").alias("own"))
+    return both.select("hub", "cid", "comp", (F.col("comp") != F.col("own")).alias("apart"))
+
+
+def _families(star: DataFrame, comp: DataFrame, size: DataFrame, kept: Written) -> tuple[DataFrame, DataFrame]:
+    """The rows of `_rows` with n_shingles, and of each hub with unlinked members: their number u, lefts and rights (blocks for these and for all members)."""
+    both = kept.table(_rows(star, comp).join(size, "cid"))
+    side = F.greatest(F.lit(BLOCK_ROWS), F.ceil(2 * F.sqrt(F.col("n"))))
+    parts = lambda n, total: F.greatest(F.ceil(F.col(n) / side), F.ceil(F.col(total) / BLOCK)).cast("int")
+    elements = F.sum(F.when(F.col("apart"), F.col("n_shingles")).otherwise(0))
+    family = both.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("u"), elements.alias("ue"), F.sum("n_shingles").alias("ne")).where("n >= 3 AND u >= 1")
+    return both, kept.table(family.select("hub", "u", parts("u", "ue").alias("lefts"), parts("n", "ne").alias("rights")))
+
+
+def near_by(both: DataFrame, family: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Links within blocks into which a hash, another at each turn, deals the members of a family with more than FEW unlinked ones."""
+    rows = both.join(family.where(F.col("u") > FEW), "hub").withColumn("l", F.expr(f"int(pmod(xxhash64(cid, {turn}), rights))"))
+    sides = F.explode(F.when(F.col("apart"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    return rows.select("hub", "l", sides.alias("side"), "cid", "comp").join(sets, "cid").groupBy("hub", "l").applyInPandas(_cross(num, den), "a long, b long")
+
+
+def rest(both: DataFrame, family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the members of a family that are still apart and all others of it; for each block fewer than it has components."""
     rows = both.join(family, "hub")
     left = rows.where("apart").select("hub", F.expr("int(pmod(xxhash64(cid), lefts))").alias("l"), F.explode(F.expr("sequence(0, rights - 1)")).alias("r"), F.lit(0).alias("side"), "cid", "comp")
-    right = rows.select("hub", F.explode(F.expr("sequence(0, lefts - 1)")).alias("l"), F.expr("int(pmod(xxhash64(cid), rights))").alias("r"), F.lit(1).alias("side"), "cid", "comp")
+    right = rows.select("hub", F.explode(F.expr("sequence(0, lefts - 1)")).alias("l"), F.expr("int(pmod(xxhash64(cid, -1), rights))").alias("r"), F.lit(1).alias("side"), "cid", "comp")
     return left.unionByName(right).join(sets, "cid").groupBy("hub", "l", "r").applyInPandas(_cross(num, den), "a long, b long")
 
 
@@ -184,36 +231,43 @@ def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str
     classes = kept.table(classes)
     own = own.drop("sketch", "th")
 
+    # What a hot key joins is written first: then Spark can send it to all tasks, or split the key's rows.
     values = classes.select("cid", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = kept.table(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     lists = values.join(shared, "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
     need = F.when(F.col("n_shingles") < t * k, F.ceil((F.col("n_shingles") * num) / den)).otherwise(o)
     rank = F.struct(F.col("first").isNull().alias("no"), "first", "cid")
     room = (F.size("shared") - need + 1).cast("int")  # the values that no other class has come first
     prefix = lists.join(classes.select("cid", "first", "n_shingles", F.size("sketch").alias("kept")), "cid").where(room > 0)
     prefix = kept.table(prefix.select("cid", rank.alias("rank"), F.explode(F.slice("shared", 1, room)).alias("p")).select("cid", "rank", F.col("p.v").alias("v")))
-    hubs = prefix.groupBy("v").agg(F.min("rank").alias("hub"), F.count("*").alias("n")).where("n > 1").select("v", F.col("hub.cid").alias("hub"))
-    star = kept.table(prefix.join(hubs, "v").where("cid <> hub").select("hub", "cid").distinct())
+    hubs = kept.table(prefix.groupBy("v").agg(F.min("rank").alias("hub"), F.count("*").alias("n")).where("n > 1").select("v", F.col("hub.cid").alias("hub")))
+    star = kept.table(prefix.select("cid", "v").join(hubs, "v").where("cid <> hub").select("hub", "cid").distinct())
 
     one = classes.select("cid", F.col("sketch").alias("s"))
-    near = star.join(one, "cid").join(one.select(F.col("cid").alias("hub"), F.col("s").alias("h")), "hub")
-    union = F.slice(F.array_sort(F.array_union("s", "h")), 1, k)
-    near = near.select("hub", "cid", F.size(union).alias("n"), F.size(F.array_intersect(F.array_intersect(union, F.col("s")), F.col("h"))).alias("hits"))
-    near = kept.table(near.where(F.when(F.col("n") < k, F.col("hits") * den >= F.col("n") * num).otherwise(F.col("hits") >= o)).select("hub", "cid"))
-
-    wide = star.groupBy("hub").count().where("count > 1").select("hub")
-    wanted = star.join(wide, "hub", "left_semi").select("hub", "cid").union(near)
-    wanted = wanted.select(F.explode(F.array("hub", "cid")).alias("cid")).distinct()
+    near = kept.table(estimated(star, one, k, num, den))
+    wide = kept.table(star.groupBy("hub").count().where("count > 1").select("hub"))
+    star = kept.table(star.join(wide, "hub", "left_semi"))
+    wanted = star.union(near).select(F.explode(F.array("hub", "cid")).alias("cid")).distinct()
     sets = kept.table(full_sets(docs, classes.join(wanted, "cid", "left_semi").select("cid", "digest", "first", "th"), id_col, text_col, words, lower))
 
-    links = kept.table(verified(near, sets, num, den))
-    comp = components(links, kept)
-    more = kept.table(rest(star, comp, classes.select("cid", "n_shingles"), sets, kept, num, den))
+    comp = components(verified(near, sets, kept, num, den), kept)
+    size = classes.select("cid", "n_shingles")
+    for turn in range(ROUNDS):
+        both, family = _families(star, comp, size, kept)
+        found = kept.table(near_by(both, family, sets, turn, num, den))
+        if found.isEmpty():
+            break
+        comp = joined_components(comp, found, kept)
+    else:
+        both, family = _families(star, comp, size, kept)
+    more = kept.table(rest(both, family, sets, num, den))
     if not more.isEmpty():
-        comp = components(links.union(more), kept)
-    labelled = classes.select("digest", "cid", "first", "th").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    top = labelled.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no"), "first", "cid")).alias("top"))
-    labelled = labelled.join(top, "root").select("digest", "first", "th", F.col("top.first").alias("component"), (F.col("cid") == F.col("top.cid")).alias("keep"))
+        comp = joined_components(comp, more, kept)
+    ranked = comp.join(classes.select(F.col("cid").alias("node"), rank.alias("rank")), "node")
+    top = kept.table(ranked.groupBy("root").agg(F.min("rank").alias("top")))
+    labelled = classes.select("digest", "cid", "first", "th").join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(top, "root", "left")
+    alone = F.col("top").isNull()
+    labelled = labelled.select("digest", "first", "th", F.when(alone, F.col("first")).otherwise(F.col("top.first")).alias("component"), (alone | (F.col("cid") == F.col("top.cid"))).alias("keep"))
     return own, kept.table(labelled)
 
 
