@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,25 +60,17 @@ def token_hits(texts: DataFrame, tokens: list[str], bounded: bool = True) -> Dat
     for part in parts:
 
         def run(batches: Iterator[pa.RecordBatch], part: list[str] = part) -> Iterator[pa.RecordBatch]:
-            try:
-                import ahocorasick
-            except ImportError:
-                ahocorasick = None
-            if ahocorasick and part:
-                finder = ahocorasick.Automaton()
-                for t in part:
-                    finder.add_word(t, t)
-                finder.make_automaton()
+            finder = ahocorasick.Automaton()
+            for t in part:
+                finder.add_word(t, t)
+            finder.make_automaton()
             for batch in batches:
                 rows = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     text = text or ""
                     first: dict[str, int] = {}
-                    if ahocorasick and part:
-                        for end, t in finder.iter(text):
-                            first.setdefault(t, end - len(t) + 1)
-                    else:
-                        first = {t: at for t in part if (at := text.find(t)) >= 0}
+                    for end, t in finder.iter(text) if part else ():
+                        first.setdefault(t, end - len(t) + 1)
                     for t, at in first.items():
                         if not bounded or "/" in t or re.search(rf"\b{re.escape(t)}\b", text, re.ASCII):
                             rows.append((key, t, text.count("\n", 0, at) + 1))
@@ -109,9 +103,10 @@ def wire_edges(references: DataFrame, symbols: DataFrame, tokens: DataFrame, pro
     """WIRE edges from REFERENCES (src, dst, token) and merged tokens (contract, name, token, direction, producers, consumers).
 
     Producers and consumers are the token's if it names any; else the side of the `server` compartment and the other one, turned by the
-    direction; else there is no wire. Only across compartments. A pair with a token counts for its first contract; of each contract and
-    token the first `most` pairs by (producer, consumer) stay. These need no more than the first `most` symbols of each compartment, and
-    2 * `most` of these, on each side: so much is ranked before pairs are formed, whatever the size of the group.
+    direction; else there is no wire. Only across compartments. Contracts are taken in order of id: of each contract and token the first
+    `most` pairs by (producer, consumer) stay that no contract before it has wired for that token. The k-th contract of a token thus needs no
+    more than its first k * `most` pairs, and these no more than as many first symbols of each compartment, and twice as many of all, on
+    each side: so much is ranked before pairs are formed, whatever the size of the group.
     """
     side = symbols.select(F.col("id").alias("src"), "compartment")
     rows = references.select("src", F.col("dst").alias("contract"), "token").distinct().join(side, "src").join(tokens, ["contract", "token"])
@@ -125,19 +120,42 @@ def wire_edges(references: DataFrame, symbols: DataFrame, tokens: DataFrame, pro
     label = F.when(roles, "c2s").when(from_server, "s2c").when(F.col("direction").isNull(), "c2s?").otherwise("c2s")
     rows = rows.select("contract", "name", "token", "src", "compartment", out.alias("out"), into.alias("into"), label.alias("direction"))
 
+    place = F.dense_rank().over(Window.partitionBy("token").orderBy("contract"))
+    turns = rows.select("token", "contract").distinct().withColumn("turn", place)
+    turns = turns.withColumn("turns", F.max("turn").over(Window.partitionBy("token")))
+    rows = rows.join(turns, ["token", "contract"])
+
     def first(which: str) -> DataFrame:
         own_rank = F.row_number().over(Window.partitionBy("contract", "token", "compartment").orderBy("src"))
-        kept = rows.where(which).withColumn("r", own_rank).where(F.col("r") <= most)
+        kept = rows.where(which).withColumn("r", own_rank).where(F.col("r") <= most * F.col("turn"))
         all_rank = F.row_number().over(Window.partitionBy("contract", "token").orderBy("src"))
-        return kept.withColumn("r", all_rank).where(F.col("r") <= 2 * most).drop("r", "out", "into")
+        return kept.withColumn("r", all_rank).where(F.col("r") <= 2 * most * F.col("turn")).drop("r", "out", "into")
 
-    producers = first("out").withColumnRenamed("src", "p").withColumnRenamed("compartment", "pc")
-    consumers = first("into").select("contract", "token", F.col("src").alias("q"), F.col("compartment").alias("qc"))
-    pairs = producers.join(consumers, ["contract", "token"]).where("p <> q AND pc <> qc")
-    pairs = pairs.withColumn("first", F.min("contract").over(Window.partitionBy("p", "q", "token"))).where("contract = first")
+    producers, consumers = first("out"), first("into")
+    q = consumers.where("turns = 1").select("contract", "token", F.col("src").alias("q"), F.col("compartment").alias("qc"))
+    pairs = producers.where("turns = 1").withColumnRenamed("src", "p").join(q, ["contract", "token"]).where("p <> q AND compartment <> qc")
     rank = F.row_number().over(Window.partitionBy("contract", "token").orderBy("p", "q"))
-    pairs = pairs.withColumn("r", rank).where(F.col("r") <= most)
-    return pairs.select(*edge("WIRE", F.col("p"), F.col("q"), F.lit(project), token=F.col("token"), contract=F.col("name"), direction=F.col("direction"), evidence=F.lit("wire-derived")))
+    columns = ["name", "token", "p", "q", "direction"]
+    alone = pairs.withColumn("r", rank).where(F.col("r") <= most).select(columns)
+    sides = producers.withColumn("side", F.lit(0)).unionByName(consumers.withColumn("side", F.lit(1))).where("turns > 1")
+    shared = sides.groupBy("token").applyInPandas(_shared_token(most), "name string, token string, p string, q string, direction string")
+    return alone.union(shared).select(*edge("WIRE", F.col("p"), F.col("q"), F.lit(project), token=F.col("token"), contract=F.col("name"), direction=F.col("direction"), evidence=F.lit("wire-derived")))
+
+
+def _shared_token(most: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The wires of a token that several contracts have, contract by contract; its rows are few (see `wire_edges`)."""
+        wired: set[tuple[str, str]] = set()
+        out = []
+        for _, own in rows.sort_values("src").groupby("turn", sort=True):
+            producers, consumers = own[own.side == 0], own[own.side == 1]
+            fresh = ((p, q) for p, pc in zip(producers.src, producers.compartment, strict=True) for q, qc in zip(consumers.src, consumers.compartment, strict=True) if p != q and pc != qc and (p, q) not in wired)
+            found = [pair for pair, _ in zip(fresh, range(most), strict=False)]
+            wired.update(found)
+            out += [(own.name.iloc[0], own.token.iloc[0], p, q, own.direction.iloc[0]) for p, q in found]
+        return pd.DataFrame(out, columns=["name", "token", "p", "q", "direction"])
+
+    return run
 
 
 def token_drift(tokens: DataFrame, references: DataFrame, symbols: DataFrame, include_tests: bool = False) -> DataFrame:

@@ -15,17 +15,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, most: int = MOST_CANDIDA
     """src, dst, cnt, line (of the first call), resolution for calls (from_id, compartment, file, name, line).
 
     Candidates are the symbols of that name in the caller's compartment; if the caller's file has some, only those. Calls without
-    candidates or with more than `most` are dropped, then those to the caller itself. Calls are first counted per caller and name, and
-    names with too many candidates go before the join, so a very common name never fans out.
+    candidates or with more than `most` are dropped, then those to the caller itself. Calls are first counted per caller and name. Those with
+    candidates in their own file meet them by compartment, file and name; only the others meet candidates by compartment and name, and only
+    names with at most `most` candidates. So no join makes more than `most` rows of one, however common a name is.
     """
     sites = calls.groupBy("from_id", "compartment", "file", "name").agg(F.count("*").alias("cnt"), F.min("line").alias("line"))
     defs = symbols.where("kind <> 'module'").select("compartment", "file", "name", F.col("id").alias("dst"))
-    same = defs.groupBy("compartment", "name", "file").agg(F.count("*").alias("here"))
-    every = same.groupBy("compartment", "name").agg(F.sum("here").alias("anywhere"))
-    sites = sites.join(every, ["compartment", "name"]).join(same, ["compartment", "name", "file"], "left")
-    sites = sites.withColumn("n", F.coalesce("here", "anywhere")).where(F.col("n") <= most)
-    found = sites.join(defs.withColumnRenamed("file", "def_file"), ["compartment", "name"])
-    found = found.where("(here IS NULL OR def_file = file) AND dst <> from_id")
+    same = defs.groupBy("compartment", "file", "name").agg(F.count("*").alias("n"))
+    every = same.groupBy("compartment", "name").agg(F.sum("n").alias("n"))
+    columns = ["from_id", "dst", "cnt", "line", "n"]
+    here = sites.join(same.where(F.col("n") <= most), ["compartment", "file", "name"]).join(defs, ["compartment", "file", "name"])
+    away = sites.join(same, ["compartment", "file", "name"], "left_anti").drop("file")
+    away = away.join(every.where(F.col("n") <= most), ["compartment", "name"]).join(defs.drop("file"), ["compartment", "name"])
+    found = here.select(columns).unionByName(away.select(columns)).where("dst <> from_id")
     resolution = F.when(F.min("n") == 1, "unique").otherwise("ambiguous")
     return found.groupBy(F.col("from_id").alias("src"), "dst").agg(F.sum("cnt").alias("cnt"), F.min("line").alias("line"), resolution.alias("resolution"))
 

@@ -98,9 +98,10 @@ def walks(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, hops: int, dir
     return reduce(DataFrame.unionByName, parts).groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.sum("n").alias("walks"))
 
 
-def neighbor_compartments(edges: DataFrame, symbols: DataFrame, compartment: str) -> DataFrame:
-    """Compartments one call away from `compartment`, itself included."""
+def neighbor_compartments(edges: DataFrame, symbols: DataFrame, compartment: str | None = None) -> DataFrame:
+    """compartment, neighbor: the compartments one call away from `compartment`, itself included; from each compartment if none is given."""
     of = symbols.select("id", "compartment")
-    calls = edges.where("type = 'CALLS'").join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst")
-    there = calls.where(F.col("a") == compartment).select(F.col("b").alias("compartment")).union(calls.where(F.col("b") == compartment).select("a"))
-    return there.union(edges.sparkSession.createDataFrame([(compartment,)], "compartment string")).distinct()
+    calls = edges.where("type = 'CALLS'").join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").select("a", "b").distinct()
+    own = symbols.select(F.col("compartment").alias("a"), F.col("compartment").alias("b")).distinct()
+    out = calls.union(calls.select("b", "a")).union(own).distinct().toDF("compartment", "neighbor")
+    return out if compartment is None else out.where(F.col("compartment") == compartment)

@@ -86,6 +86,13 @@ def contract_tokens(spark: SparkSession, sf_dir: str, roles: bool = False) -> Da
     return out.select("contract", "name", "token", direction.alias("direction"), *([F.col("producers"), F.col("consumers")] if roles else [empty.alias("producers"), empty.alias("consumers")]))
 
 
+def shared_contracts(refs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and tokens with a further contract, named by a letter and 2, of tokens of even length: the pages of even number refer to it too."""
+    more = refs.where("length(token) % 2 = 0 AND cast(regexp_extract(src, ':([0-9]+):<module>:0$', 1) AS long) % 2 = 0").withColumn("dst", F.concat("dst", F.lit("2")))
+    named = tokens.where("length(token) % 2 = 0").withColumns({"contract": F.concat("contract", F.lit("2")), "name": F.concat("name", F.lit("2"))})
+    return refs.unionByName(more), tokens.unionByName(named)
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tag, session, t (microseconds), kind, saved, pattern for all events."""
     kind = F.create_map(*[F.lit(x) for pair in (("purchase", "read"), ("click", "turn"), ("view", "turn"), ("error", "boundary"), ("signup", "grep")) for x in pair])

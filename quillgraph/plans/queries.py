@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import contracts, drift, exporting, lookup, resolve, traverse, usage
+from ..schemas import module_id
 from ..tables import cut, table
 from . import projection as G
 from .sqlguard import query_sql
@@ -148,10 +149,15 @@ SELECT src, dst, CAST(sum(n) AS BIGINT) AS walks FROM (SELECT * FROM up1 UNION A
 
 
 def neighbor_compartments(spark, sf_dir):
-    """For every compartment that calls, the compartments it calls: calls stay inside one, so each is its own."""
-    edges = resolve.call_edges(resolve.resolve_calls(G.calls(spark, sf_dir), G.symbols(spark, sf_dir)), G.PROJECT)
-    of = G.symbols(spark, sf_dir).select("id", "compartment")
-    return edges.join(of.toDF("src", "compartment"), "src").join(of.toDF("dst", "neighbor"), "dst").groupBy("compartment", "neighbor").agg(F.count("*").alias("edges"))
+    """The compartments one reference away from each: calls stay inside a compartment, so the edges are pages that link to another host's route."""
+    pages = G.page_symbols(spark, sf_dir)
+    own = G.candidates(spark, sf_dir).select(module_id(F.col("compartment"), F.col("file")).alias("id"), "token", "role").distinct()
+    edges = own.where("role = 'out'").withColumnRenamed("id", "src").join(own.where("role = 'in'").withColumnRenamed("id", "dst"), "token").select("src", "dst", F.lit("CALLS").alias("type"))
+    return traverse.neighbor_compartments(edges, pages)
+
+
+NEIGHBOR_SQL = f"""WITH {CANDIDATES}, met AS (SELECT DISTINCT a.compartment AS x, b.compartment AS y FROM candidates a JOIN candidates b ON a.token = b.token AND a.role = 'out' AND b.role = 'in')
+SELECT x AS compartment, y AS neighbor FROM met UNION SELECT y, x FROM met UNION SELECT compartment, compartment FROM candidates"""
 
 
 # ---------------------------------------------------------------- lookup
@@ -336,7 +342,8 @@ def _wires(roles: bool):
         if not roles:
             top = refs.join(symbols.select(F.col("id").alias("src"), "compartment"), "src").groupBy("compartment").count().orderBy(F.desc("count"), "compartment").first()
             server = top[0] if top else None
-        out = contracts.wire_edges(refs, symbols, G.contract_tokens(spark, sf_dir, roles), G.PROJECT, server)
+        refs, tokens = G.shared_contracts(refs, G.contract_tokens(spark, sf_dir, roles))
+        out = contracts.wire_edges(refs, symbols, tokens, G.PROJECT, server)
         return out.select("src", "dst", "token", "contract", "direction", "evidence")
 
     return run
@@ -344,10 +351,14 @@ def _wires(roles: bool):
 
 def _wires_sql(out: str, into: str, label: str) -> str:
     return f"""WITH {MENTIONS}, server AS (SELECT compartment AS s FROM mentions GROUP BY compartment ORDER BY count(*) DESC, compartment LIMIT 1),
-sided AS (SELECT m.*, length(token) % 2 = 0 AS s2c, s FROM mentions m, server),
-ranked AS (SELECT p.src, q.src AS dst, p.token, p.name AS contract, {label} AS direction, row_number() OVER (PARTITION BY p.dst, p.token ORDER BY p.src, q.src) AS r
-  FROM sided p JOIN sided q ON p.dst = q.dst AND p.token = q.token AND p.compartment <> q.compartment AND {out} AND {into})
-SELECT src, dst, token, contract, direction, 'wire-derived' AS evidence FROM ranked WHERE r <= 25"""
+held AS (SELECT src, dst, name, token, compartment FROM mentions
+  UNION ALL SELECT src, dst || '2', name || '2', token, compartment FROM mentions WHERE length(token) % 2 = 0 AND CAST(regexp_extract(src, ':([0-9]+):<module>:0$', 1) AS BIGINT) % 2 = 0),
+sided AS (SELECT m.*, length(token) % 2 = 0 AS s2c, s FROM held m, server),
+pairs AS (SELECT p.src, q.src AS dst, p.token, p.dst AS c, p.name AS contract, {label} AS direction
+  FROM sided p JOIN sided q ON p.dst = q.dst AND p.token = q.token AND p.compartment <> q.compartment AND {out} AND {into}),
+one AS (SELECT * FROM pairs WHERE NOT ends_with(c, '2') QUALIFY row_number() OVER (PARTITION BY c, token ORDER BY src, dst) <= 25),
+two AS (SELECT * FROM pairs p WHERE ends_with(c, '2') AND NOT EXISTS (SELECT 1 FROM one o WHERE o.src = p.src AND o.dst = p.dst AND o.token = p.token) QUALIFY row_number() OVER (PARTITION BY c, token ORDER BY src, dst) <= 25)
+SELECT src, dst, token, contract, direction, 'wire-derived' AS evidence FROM one UNION ALL SELECT src, dst, token, contract, direction, 'wire-derived' FROM two"""
 
 
 def contract_edges(spark, sf_dir):
@@ -499,7 +510,7 @@ ORACLE_SQL: dict[str, str] = {
     "resolve_counts": f"WITH {GRAPH} SELECT resolution, count(*) AS edges, CAST(sum(cnt) AS BIGINT) AS calls FROM edges GROUP BY resolution",
     "resolve_incremental": f"WITH {GRAPH} SELECT src, dst, cnt, line, resolution FROM edges",
     "trace_callees": _trace_sql("src", "dst"), "trace_callers": _trace_sql("dst", "src"), "path_between": PATH_SQL, "export_contract_walk": WALK_SQL,
-    "neighbor_compartments": f"WITH {GRAPH} SELECT a.compartment, b.compartment AS neighbor, count(*) AS edges FROM edges JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst GROUP BY ALL",
+    "neighbor_compartments": NEIGHBOR_SQL,
     "find_symbol": f"WITH {SYMBOLS} SELECT id, compartment, file, name, start_line, end_line FROM symbols WHERE name = (SELECT name FROM symbols GROUP BY name ORDER BY count(*) DESC, name LIMIT 1) ORDER BY compartment, file, start_line, id LIMIT 100",
     "get_source_lines": "SELECT file, line, text FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) AS n FROM documents) WHERE line BETWEEN 2 AND least(n - 1, 401)",
     "graph_stats_nodes": f"WITH {MENTIONS} SELECT 'Compartment' AS label, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'File', count(DISTINCT p_brand || '|' || p_type) FROM part UNION ALL SELECT 'Symbol', count(*) + count(DISTINCT p_brand || '|' || p_type) FROM part UNION ALL SELECT 'Contract', count(DISTINCT dst) FROM mentions",

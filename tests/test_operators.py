@@ -75,6 +75,42 @@ def test_wires_are_capped_after_order(spark):
     assert got == [("p000", f"q{i:03}") for i in range(25)]
 
 
+def test_wires_of_a_token_in_several_contracts(spark):
+    """Each contract has its own first 25 pairs, of those that none before it has wired."""
+    syms, refs, _ = wire(spark, 10, 10)
+    both = refs.union(refs.withColumn("dst", F.lit("contract:y"))).union(refs.where("src < 'p002' OR src > 'q'").withColumn("dst", F.lit("contract:z")))
+    sides = [["out0", "out1"], ["in0", "in1"]]
+    tokens = spark.createDataFrame([(f"contract:{c}", c, "/api/x", None, *sides) for c in "xyz"], "contract string, name string, token string, direction string, producers array<string>, consumers array<string>")
+    got = [(r["contract"], r["src"], r["dst"]) for r in contracts.wire_edges(both, syms, tokens, "p").collect()]
+    pairs = [(f"p{i:03}", f"q{j:03}") for i in range(10) for j in range(10)]
+    assert sorted(got) == sorted([("x", *p) for p in pairs[:25]] + [("y", *p) for p in pairs[25:50]])
+
+
+def test_a_common_name_is_joined_file_by_file(spark):
+    """Of n files that each define and call `init`, joins make in the order of n rows."""
+    n = 400
+    defs = symbols(spark, *[(f"i{k}", "c", f"f{k}", "init") for k in range(n)], *[(f"m{k}", "c", f"f{k}", f"main{k}") for k in range(n)])
+    calls = spark.createDataFrame([(f"m{k}", "c", f"f{k}", "init", 1) for k in range(n)], "from_id string, compartment string, file string, name string, line long")
+    out = resolve.resolve_calls(calls, defs)
+    assert {(r["src"], r["dst"], r["resolution"]) for r in out.collect()} == {(f"m{k}", f"i{k}", "unique") for k in range(n)}
+    plan = out._jdf.queryExecution().executedPlan()
+    made, seen, todo = [], 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "Adaptive" in node.nodeName():
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if "Join" in node.nodeName():
+            seen += 1
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert seen >= 2 and max(made) <= 2 * n
+
+
 def test_wires_cross_compartments_only(spark):
     syms = symbols(spark, ("x1", "X", "f", "a"), ("x2", "X", "f", "b"), ("y1", "Y", "f", "c"))
     refs = syms.select(F.col("id").alias("src"), F.lit("contract:x").alias("dst"), F.lit("/api/x").alias("token"))
