@@ -7,8 +7,9 @@
    lengths, however the input is sorted. Each group packs its pieces best-fit, longest first: a piece goes to the
    fullest bin that still has room for it. Bins with less than `slack` tokens of room are done.
 3. The other bins become items of their fill. `fan` groups merge, pack these items best-fit, and so
-   on up a tree to one group. What is left then is done too. A group hands on at most `carry` bins, the
-   emptiest; fuller ones beyond that are done as they are, so no task grows with the corpus.
+   on up a tree to one group. What is left then is done too. Best fit leaves at most one bin of a group half full
+   or less, and fuller ones never meet; so at most `fan` items a round find a bin of this group, and of bins with equal
+   fill only `fan` for each round to come are handed on. More could change nothing, and no task grows with the corpus.
 4. A bin merged into another keeps its pieces' order at a common offset; the merges are composed from the last round
    back, and ids join their places once.
 
@@ -19,8 +20,10 @@ Only doc_id and text are read. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import zlib
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,52 +36,90 @@ from .common import Written, bounded_batches
 CAPACITY = 2048
 SLACK = 32
 FAN = 8
-CARRY = 100_000
 
 
-def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of texts, without special tokens added, as the `tokenizers` library gives them for the file.
+#: Byte-level files write printable bytes as themselves and the others, in order, as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    For byte-level BPE whose merges are in order of id, `tiktoken` gives the same ids several times faster and is used for
-    texts without any of the file's special strings. The first texts of each worker are encoded both ways; if they differ, all are
-    left to `tokenizers`.
-    """
-    import tiktoken
+
+def _file(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = [t["content"] for t in spec.get("added_tokens", [])]
-    exact = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
-    if spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
+    slow = Tokenizer.from_file(path)
+    return spec, [t["content"] for t in spec.get("added_tokens", [])], lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def _fast(spec: dict, special: list[str]):
+    import tiktoken
+
+    ranks = {bytes(_BYTE[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _merged(parts: list[bytes], rank: dict[bytes, int], below: int) -> list[bytes]:
+    """`parts` after all merges to tokens of a smaller id, the smallest first, from the left."""
+    while len(parts) > 1:
+        least, i = min((rank.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if least >= below:
+            break
+        parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+    return parts
+
+
+@lru_cache(maxsize=4)
+def provably_plain(path: str) -> bool:
+    """Whether `tiktoken` gives the ids of `tokenizers` for all texts without special strings, by the file itself.
+
+    The file must be byte-level BPE of the usual pattern without any option that changes ids, with all bytes. Then `tokenizers` merges pairs
+    by their place among the merges, `tiktoken` pairs whose joint token has the smallest id. These agree if merges are in order of the id they
+    make and every token, cut by the merges before its own, is left as the two parts of its merge: then no other pair that makes it can ever
+    stand alone in a text. Character classes of the two pattern engines are compared over every assigned code point, next to a letter, a digit,
+    a sign and spaces.
+    """
+    spec, special, exact = _file(path)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) or spec.get("normalizer"):
+        return False
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", ())):
+        return False
+    if any(c not in _BYTE for t in model["vocab"] if t not in special for c in t):
+        return False
+    rank = {bytes(_BYTE[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(bytes(_BYTE[c] for c in t) for t in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    made = [rank.get(a + b) for a, b in merges]
+    if None in made or any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(made) + 256 != len(rank) or any(bytes([b]) not in rank for b in range(256)):
+        return False
+    if any(_merged([bytes([x]) for x in a + b], rank, n) != [a, b] for (a, b), n in zip(merges, made, strict=True)):
+        return False
+    known = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cs", "Cn", "Co")]
+    sweep = ["".join(f"a{c}a1{c}1-{c}- {c} \n{c}{c}" for c in known[i : i + 500]) for i in range(0, len(known), 500)]
+    sweep = [t for t in sweep if not any(x in t for x in special)]
+    fast = _fast(spec, special)
+    return [fast.encode_ordinary(t) for t in sweep] == exact(sweep)
+
+
+def encoder(path: str, plain: bool) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts, without special tokens added, as the `tokenizers` library gives them for the file. `plain`, what `provably_plain` says of the
+    file: texts without any of its special strings are left to `tiktoken`, which is several times faster."""
+    spec, special, exact = _file(path)
+    if not plain:
         return exact
-    # Byte-level files write printable bytes as themselves and the others, in order, as the characters from 256 on.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    state = {"left": 16, "same": True}
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        if state["left"] > 0 and state["same"]:
-            some = [t[:5000] for t in texts[: state["left"]] if not any(s in t for s in special)]
-            state["left"] -= len(some)
-            state["same"] = [fast.encode_ordinary(t) for t in some] == exact(some)
-        if not state["same"]:
-            return exact(texts)
-        return [exact([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
-
-    return encode
+    fast = _fast(spec, special)
+    return lambda texts: [exact([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids (unsigned 16-bit, or 32-bit if an id needs it, little-endian), wide."""
-    kind = docs.schema[id_col].dataType
+    kind, plain = docs.schema[id_col].dataType, provably_plain(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, plain)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -123,17 +164,19 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, np.array(offsets, np.int64), np.array([fill[b] for b in bins.tolist()], np.int64)
 
 
-def _round(items: DataFrame, capacity: int, slack: int, carry: int) -> DataFrame:
-    """key, bin, offset, fill, open, g for items (g, key, length), each group g packed by itself; rows come sorted by g."""
+def _round(items: DataFrame, capacity: int, slack: int, alike: int) -> DataFrame:
+    """key, bin, offset, fill, open, g for items (g, key, length), each group g packed by itself; rows come sorted by g. Of bins with equal fill
+    `alike` stay open at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(g: int, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
             bins, offsets, fill = best_fit(sizes, capacity)
             first = bins == np.arange(len(bins))
             live = first & (fill <= capacity - slack)
-            if live.sum() > carry:
-                at = np.flatnonzero(live)
-                live[at[np.argsort(fill[at], kind="stable")[carry:]]] = False
+            at = np.flatnonzero(live)
+            at = at[np.argsort(fill[at], kind="stable")]
+            nth = np.arange(len(at)) - np.searchsorted(fill[at], fill[at])
+            live[at[nth >= alike]] = False
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[bins]), pa.array(offsets), pa.array(fill), pa.array(live[bins]), pa.array(np.full(len(keys), g, np.int64))], names=["key", "bin", "offset", "fill", "open", "g"])
 
         held, group = [], None
@@ -153,16 +196,22 @@ def _round(items: DataFrame, capacity: int, slack: int, carry: int) -> DataFrame
     return items.select("g", "key", "length").mapInArrow(run, "key long, bin long, offset long, fill long, open boolean, g long")
 
 
-def places(items: DataFrame, kept: Written, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY) -> DataFrame:
-    """key, sequence_id, offset for items (g, key, length); g is the group that packs first and must come sorted."""
-    rounds = [kept.table(_round(items, capacity, slack, carry))]
-    top = rounds[0].agg(F.max("g")).first()[0] or 0
-    while top > 0:
+def handed_on(fan: int, rounds: int) -> int:
+    """How many bins of one fill a group can need in so many rounds to come."""
+    return fan * rounds
+
+
+def places(items: DataFrame, kept: Written, groups: int, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN) -> DataFrame:
+    """key, sequence_id, offset for items (g, key, length); g, below `groups`, is the group that packs first and must come sorted."""
+    tops = [groups - 1]
+    while tops[-1] > 0:
+        tops.append(tops[-1] // fan)
+    rounds = [kept.table(_round(items, capacity, slack, handed_on(fan, len(tops) - 1)))]
+    for i, top in enumerate(tops[1:], 1):
         last = rounds[-1].where("open AND key = bin")
         merged = last.select(F.expr(f"g div {fan}").alias("g"), F.col("bin").alias("key"), F.col("fill").alias("length"))
-        top //= fan
         merged = merged.repartition(min(top + 1, 10_000), "g").sortWithinPartitions("g", "length", "key")
-        rounds.append(kept.table(_round(merged, capacity, slack, carry)))
+        rounds.append(kept.table(_round(merged, capacity, slack, handed_on(fan, len(tops) - 1 - i))))
     final = None
     for own in reversed(rounds):
         at = own.select("key", "bin", "offset")
@@ -174,7 +223,7 @@ def places(items: DataFrame, kept: Written, capacity: int = CAPACITY, slack: int
     return final
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slack: int = SLACK, fan: int = FAN, carry: int = CARRY) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slack: int = SLACK, fan: int = FAN) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     bounded_batches(docs.sparkSession)
     kept = Written(docs.sparkSession, "packing")
@@ -183,7 +232,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     n = (own.agg(F.max(F.shiftright("key", 33))).first()[0] or 0) + 1  # partitions that wrote pieces
     group = F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(n))
     items = own.select(group.alias("g"), "key", "length").repartition(min(n, 10_000), "g").sortWithinPartitions("g", "length", "key")
-    out = own.join(places(items, kept, capacity, slack, fan, carry), "key")
+    out = own.join(places(items, kept, n, capacity, slack, fan), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
