@@ -44,10 +44,10 @@ TOP = np.uint64(1 << 63)
 BLOCK = 1_000_000
 BLOCK_ROWS = 128
 #: Members compared with one copy of their hub's set in one task.
-SALT_ROWS = 256
+SALT_ROWS = 100
 #: A family with more unlinked members than this is first compared within small blocks, in so many rounds at most.
 FEW = 32
-ROUNDS = 4
+ROUNDS = 2
 
 
 def least_overlap(k: int, t: float) -> int:

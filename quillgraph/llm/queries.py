@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.quillgraph.pii.key", None) or secrets.token_hex(32)  # without a key of the user's, one that is forgotten
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), key)
     return out.select("doc_id", *[F.col(f"pii.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], "text")
 
 

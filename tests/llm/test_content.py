@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillgraph.llm import mixing, pii, quality, warc
@@ -106,9 +107,54 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(canon)) == 30 and not set(canon) & {r["norm"] for r in got} and any(r["attempt"] > 0 for r in got)
 
 
+NAMES = "Mr John Smith came. Mr Smith left. Mrs Mary Smith too. Herr Γιώργος Παπαδόπουλος and Κυρία Παπαδόπουλος, г-жа Анна Петрова, Mr Jean-Luc O'Brien, Mister McDonald, Sir WALTER SCOTT, מר כהן"
+
+
+def test_surrogates_of_names(spark):
+    """Each part of a name has its own surrogate, in its script."""
+    one = lambda key, text=NAMES: pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), key).first()
+    r = one("k")
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left\. Mrs (\w+) (\w+) too\. Herr ([Α-ώ]+) ([Α-ώ]+) and Κυρία ([Α-ώ]+), г-жа ([А-я]+) ([А-я]+), Mr (\w+) (\w+), Mister (\w+), Sir ([A-Z]+) ([A-Z]+), מר ([א-ת]+)", r["text"])
+    assert m and m[2] == m[3] == m[5] and m[7] == m[8] and m[1] != m[4] and r["pii"]["person"] == 10
+    assert not set(re.findall(r"\w{3,}", NAMES)) & {m[i] for i in range(1, 17)}
+    assert one("other")["text"] != r["text"]
+    with pytest.raises(ValueError, match="key"):
+        one("")
+
+
+def test_forms_of_numbers(spark):
+    """Groupings of telephone numbers and cards; a private character in a text; counts."""
+    rows = ["+33 1 23 45 67 89, +49 30 1234567, +34 912 34 56 78, (555) 123-4567.", "3782 822463 10005 and 2024 4111 1111 1111 1111 then 3530-1113-3330-0000, 1.4111111111111111", "\ue000 mail a@b.org \ue000, Mr Smith\ue000", "+12 34 or (12) 345"]
+    got = [(r["text"], r["pii"]) for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    assert [sum(p) for _, p in got] == [4, 3, 2, 0] and got[0][1]["phone"] == 4 and got[1][1]["card"] == 3
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d, \+49 \d\d \d{7}, \+34 \d{3} \d\d \d\d \d\d, \(\d{3}\) \d{3}-\d{4}\.", got[0][0])
+    assert re.fullmatch(r"37\d\d \d{6} \d{5} and 2024 4\d{3} \d{4} \d{4} \d{4} then 35\d\d-\d{4}-\d{4}-\d{4}, 1\.4111111111111111", got[1][0])
+    assert re.fullmatch("\ue000 mail [a-z]@mail[0-9a-f]{8}\\.example\\.org \ue000, Mr [A-Z][a-z]+\ue000", got[2][0]) and got[3][0] == rows[3]
+
+
+def test_pii_against_a_plain_search(spark, corpus):
+    """Over the corpus: the entities that a plain search finds, each with one surrogate that no other has and that the corpus has not; all else is kept."""
+    docs = corpus[0].select("doc_id", "text")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs, "k").collect()}
+    seen, back = {}, {}
+    for i, text in docs.collect():
+        found = [m for m in regex.finditer(re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", pii.PATTERN), text)]
+        rest = regex.escape(text[: found[0].start()]) if found else regex.escape(text)
+        for m, after in zip(found, [*found[1:], None], strict=True):
+            rest += "(.+?)" + regex.escape(text[m.end() : after.start() if after else len(text)])
+        m = regex.fullmatch(rest, got[i]["text"], regex.DOTALL)
+        assert m, i
+        for a, b in zip((f[0] for f in found), m.groups(), strict=True):
+            if a != b:
+                a, b = (regex.sub(r"[ .()\-]", "", x).lower() if x[0] in "+(" or x[0].isdigit() and "." not in x else x.lower() if "@" in x else x for x in (a, b))
+                assert seen.setdefault(a, b) == b and back.setdefault(b, a) == a
+        assert sum(a != b for a, b in zip((f[0] for f in found), m.groups(), strict=True)) == sum(got[i]["pii"])
+    assert len(seen) > 50 and not set(seen) & set(back)
+
+
 def test_pii_on_the_corpus(spark, corpus, none):
     docs = corpus[0]
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs, "k").collect()}
     pattern = re.compile(r"[\w.]+@[\w.]+\w|\+\d+ \(\d+\) \d+-\d+|\b\d+\.\d+\.\d+\.\d+\b|\"[0-9a-fA-F]{40}\"")
     there, back = defaultdict(set), defaultdict(set)
     for r in docs.select("doc_id", "text").collect():
@@ -117,7 +163,7 @@ def test_pii_on_the_corpus(spark, corpus, none):
         for x, y in zip(a, b, strict=True):
             there[x.lower()].add(y.lower()), back[y.lower()].add(x.lower())
     assert there and all(len(v) == 1 for v in (*there.values(), *back.values())) and not set(there) & set(back)
-    assert pii.pseudonymize(none).count() == 0
+    assert pii.pseudonymize(none, "k").count() == 0
 
 
 def test_mixing_reaches_its_targets(spark, corpus):
