@@ -87,10 +87,13 @@ def contract_tokens(spark: SparkSession, sf_dir: str, roles: bool = False) -> Da
 
 
 def shared_contracts(refs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References and tokens with a further contract, named by a letter and 2, of tokens of even length: the pages of even number refer to it too."""
-    more = refs.where("length(token) % 2 = 0 AND cast(regexp_extract(src, ':([0-9]+):<module>:0$', 1) AS long) % 2 = 0").withColumn("dst", F.concat("dst", F.lit("2")))
-    named = tokens.where("length(token) % 2 = 0").withColumns({"contract": F.concat("contract", F.lit("2")), "name": F.concat("name", F.lit("2"))})
-    return refs.unionByName(more), tokens.unionByName(named)
+    """References and tokens with a further contract, named by a letter and 2, of tokens of even length: all their pages refer to it, and only the
+    pages of even number to the first."""
+    even = F.length("token") % 2 == 0
+    odd_page = F.regexp_extract("src", ":([0-9]+):<module>:0$", 1).cast("long") % 2 == 1
+    more = refs.where(even).withColumn("dst", F.concat("dst", F.lit("2")))
+    named = tokens.where(even).withColumns({"contract": F.concat("contract", F.lit("2")), "name": F.concat("name", F.lit("2"))})
+    return refs.where(~(even & odd_page)).unionByName(more), tokens.unionByName(named)
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

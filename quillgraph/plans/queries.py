@@ -307,6 +307,18 @@ TEXT_SQL = r"""SELECT CAST(doc_id AS VARCHAR) AS file_key, b.text AS token, CAST
 FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON instr(d.text, b.text) > 0"""
 
 
+def contract_token_match(spark, sf_dir):
+    """Which documents hold which words of benchmark items as whole words, with the line of the first occurrence of any kind."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_key"), F.col("text").alias("content"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w RLIKE '^[a-z]{3,6}$'")
+    return contracts.token_hits(docs, [r[0] for r in words.distinct().orderBy("w").collect()])
+
+
+TOKEN_SQL = r"""WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{3,6}$'))
+SELECT CAST(doc_id AS VARCHAR) AS file_key, w AS token, CAST(length(substring(d.text, 1, instr(d.text, w) - 1)) - length(replace(substring(d.text, 1, instr(d.text, w) - 1), chr(10), '')) + 1 AS BIGINT) AS line
+FROM documents d JOIN words ON instr(d.text, w) > 0 WHERE regexp_matches(d.text, '\b' || w || '\b')"""
+
+
 def enclosing_symbol(spark, sf_dir):
     """For every call, the smallest symbol of the caller's file around the called part's line."""
     symbols = G.symbols(spark, sf_dir)
@@ -351,8 +363,8 @@ def _wires(roles: bool):
 
 def _wires_sql(out: str, into: str, label: str) -> str:
     return f"""WITH {MENTIONS}, server AS (SELECT compartment AS s FROM mentions GROUP BY compartment ORDER BY count(*) DESC, compartment LIMIT 1),
-held AS (SELECT src, dst, name, token, compartment FROM mentions
-  UNION ALL SELECT src, dst || '2', name || '2', token, compartment FROM mentions WHERE length(token) % 2 = 0 AND CAST(regexp_extract(src, ':([0-9]+):<module>:0$', 1) AS BIGINT) % 2 = 0),
+held AS (SELECT src, dst, name, token, compartment FROM mentions WHERE length(token) % 2 = 1 OR CAST(regexp_extract(src, ':([0-9]+):<module>:0$', 1) AS BIGINT) % 2 = 0
+  UNION ALL SELECT src, dst || '2', name || '2', token, compartment FROM mentions WHERE length(token) % 2 = 0),
 sided AS (SELECT m.*, length(token) % 2 = 0 AS s2c, s FROM held m, server),
 pairs AS (SELECT p.src, q.src AS dst, p.token, p.dst AS c, p.name AS contract, {label} AS direction
   FROM sided p JOIN sided q ON p.dst = q.dst AND p.token = q.token AND p.compartment <> q.compartment AND {out} AND {into}),
@@ -498,7 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_calls": resolve_calls, "resolve_counts": resolve_counts, "resolve_incremental": resolve_incremental, "trace_callees": _trace("out"), "trace_callers": _trace("in"), "path_between": path_between,
     "export_contract_walk": export_contract_walk, "neighbor_compartments": neighbor_compartments, "find_symbol": find_symbol, "get_source_lines": get_source_lines, "graph_stats_nodes": graph_stats_nodes,
     "graph_stats_edges": graph_stats_edges, "symbols_per_compartment": symbols_per_compartment, "absolute_paths": absolute_paths, "is_test_filter": is_test_filter, "is_distinctive": is_distinctive, "addresses": addresses,
-    "est_tokens": est_tokens, "identifiers": identifiers, "cluster_seams": cluster_seams, "contract_tokens": contract_tokens, "contract_text_match": contract_text_match, "enclosing_symbol": enclosing_symbol,
+    "est_tokens": est_tokens, "identifiers": identifiers, "cluster_seams": cluster_seams, "contract_tokens": contract_tokens, "contract_text_match": contract_text_match, "contract_token_match": contract_token_match, "enclosing_symbol": enclosing_symbol,
     "contract_references": contract_references, "drift_by_token": drift_by_token, "drift_by_contract": drift_by_contract, "wire_by_roles": _wires(True), "wire_by_server": _wires(False), "contract_edges": contract_edges,
     "referencing_symbols": referencing_symbols, "staleness": staleness, "structural_drift": structural_drift, "stale_seams": stale_seams, "usage_residency": usage_residency, "usage_by_project": usage_by_project,
     "usage_summary": usage_summary, "adoption_gap": adoption_gap, "export_all_links": export_all_links, "linearize_order": linearize_order, "query_sql_window": _sql(WINDOW), "query_sql_setop": _sql(SETS),
@@ -512,7 +524,7 @@ ORACLE_SQL: dict[str, str] = {
     "trace_callees": _trace_sql("src", "dst"), "trace_callers": _trace_sql("dst", "src"), "path_between": PATH_SQL, "export_contract_walk": WALK_SQL,
     "neighbor_compartments": NEIGHBOR_SQL,
     "find_symbol": f"WITH {SYMBOLS} SELECT id, compartment, file, name, start_line, end_line FROM symbols WHERE name = (SELECT name FROM symbols GROUP BY name ORDER BY count(*) DESC, name LIMIT 1) ORDER BY compartment, file, start_line, id LIMIT 100",
-    "get_source_lines": "SELECT file, line, text FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) AS n FROM documents) WHERE line BETWEEN 2 AND least(n - 1, 401)",
+    "get_source_lines": "SELECT file, line, text FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) AS n FROM documents) WHERE line BETWEEN 2 AND n - 1",
     "graph_stats_nodes": f"WITH {MENTIONS} SELECT 'Compartment' AS label, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'File', count(DISTINCT p_brand || '|' || p_type) FROM part UNION ALL SELECT 'Symbol', count(*) + count(DISTINCT p_brand || '|' || p_type) FROM part UNION ALL SELECT 'Contract', count(DISTINCT dst) FROM mentions",
     "graph_stats_edges": f"WITH {GRAPH}, {MENTIONS} SELECT 'CALLS' AS type, count(*) AS n FROM edges UNION ALL SELECT 'REFERENCES', count(*) FROM (SELECT DISTINCT src, dst, token FROM mentions)",
     "symbols_per_compartment": "SELECT p_brand AS compartment, '/src/' || p_brand AS root, count(*) AS n FROM part GROUP BY p_brand",
@@ -520,7 +532,7 @@ ORACLE_SQL: dict[str, str] = {
     "is_test_filter": rf"WITH {_PATHS_SQL} SELECT page_id, path, contains(path, 'tests/') OR contains(path, '/test/') OR contains(path, '.test.') OR contains(path, '_test.') OR contains(path, '/test_') AS by_marker, regexp_matches(path, '(^|/)(tests?|__tests__|testFixtures|androidTest|spec)(/|$)') OR regexp_matches(regexp_extract(path, '[^/]*$'), '^test_.*\.\w+$|(_test|\.test|\.spec|Test|Tests|Spec|IT)\.\w+$') AS by_segment FROM paths",
     "is_distinctive": DISTINCTIVE_SQL, "addresses": ADDRESS_SQL,
     "est_tokens": "SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens, CASE WHEN ceil(length(text) / 3.5) >= 1000 THEN printf('%.1fM', ceil(length(text) / 3.5) / 1000.0) WHEN ceil(length(text) / 3.5) >= 10 THEN CAST(CAST(ceil(length(text) / 3.5) AS BIGINT) AS VARCHAR) || 'K' ELSE printf('%.1fK', ceil(length(text) / 3.5)) END AS shown FROM documents",
-    "identifiers": IDENTIFIER_SQL, "cluster_seams": SEAMS_SQL, "contract_tokens": TOKENS_SQL, "contract_text_match": TEXT_SQL, "enclosing_symbol": ENCLOSING_SQL,
+    "identifiers": IDENTIFIER_SQL, "cluster_seams": SEAMS_SQL, "contract_tokens": TOKENS_SQL, "contract_text_match": TEXT_SQL, "contract_token_match": TOKEN_SQL, "enclosing_symbol": ENCLOSING_SQL,
     "contract_references": f"WITH {MENTIONS} SELECT DISTINCT src, dst, token, 'contract-match' AS evidence FROM mentions",
     "drift_by_token": f"WITH {DRIFT_SQL} SELECT contract, token, n, status FROM drift",
     "drift_by_contract": f"WITH {DRIFT_SQL} SELECT contract, count(*) AS total, count(*) FILTER (status = 'satisfied') AS satisfied, count(*) FILTER (status = 'one-sided') AS one_sided, count(*) FILTER (status = 'unreferenced') AS unreferenced, CASE WHEN count(*) FILTER (status = 'unreferenced') > 0 THEN 'drift' WHEN count(*) FILTER (status = 'one-sided') > 0 THEN 'one-sided' ELSE 'ok' END AS status FROM drift GROUP BY contract",
