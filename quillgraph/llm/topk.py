@@ -1,13 +1,14 @@
 """Exact top-k inner products with one KD-tree per shard.
 
-Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id. A shard builds a KD-tree: the widest dimension
-is split at its median until a node has at most LEAF_ROWS rows or all its rows are equal, and every node keeps its tight box
-and its smallest id. The best score that a box allows a query is sum(max(q * low, q * high)). Bounds go down the tree
-level by level; a subtree that no query of the block can use is left. Each query then visits leaves from the highest bound down
-(the order of a best-first traversal) until the bound can't beat its k-th result.
+Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id. A shard builds its KD-tree once, and the tree is written: the widest
+dimension is split at its median until a node has at most LEAF_ROWS rows or all its rows are equal, and every node keeps its tight box
+and its smallest id. The best score that a box allows a query is sum(max(q * low, q * high)).
 
-Every query first asks its home shard, and the k-th result found there goes with it to all other shards as the score to beat.
-Queries and shards meet in blocks of bounded size: a shard is repeated once for QUERY_ROWS queries.
+A query walks a tree best-first: of the nodes met, the one with the highest bound is taken next, an inner node for its two children, a leaf for its rows
+(a few leaves at a time), until no bound can beat the k-th result.
+
+Every query first asks its home shard, then in waves the next 1, 2, 4, ... shards after it; the k-th result so far goes with it into each wave as the
+score to beat. In a wave a shard's tree is read once for QUERY_ROWS queries, which stream past it in Arrow batches.
 
 Results are ordered by score, then by smaller id, and are exact: box bounds are integers like the scores, and boxes whose bound ties
 the k-th score are opened if they hold a smaller id.
@@ -19,8 +20,13 @@ A query without candidates has no rows. Only the id and vector columns are read.
 
 from __future__ import annotations
 
+import heapq
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,77 +46,69 @@ def exact(*parts: np.ndarray) -> list[np.ndarray]:
     return [p.astype(kind) for p in parts]
 
 
+def small(rows: np.ndarray) -> np.ndarray:
+    """The integers in the smallest type that holds them."""
+    most = int(np.abs(rows).max(initial=0))
+    return rows.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
+
+
 class Tree:
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int):
-        self.order = np.arange(len(ids))
-        self.lows, self.highs, self.first, self.kids, self.spans = [], [], [], [], []
-        self._build(ids, rows, leaf)
-        self.low, self.high = np.array(self.lows), np.array(self.highs)
-        self.least = np.array(self.first, np.int64)
-
-    def _build(self, ids: np.ndarray, rows: np.ndarray, leaf: int) -> None:
+    """Rows and their ids in the order of the leaves; of each node: box, smallest id, children (0: a leaf) and span of rows."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS):
+        order = np.arange(len(ids))
+        lows, highs, first, self.kids, self.spans = [], [], [], [], []
         todo = [(0, len(ids), -1)]
         while todo:
             a, b, parent = todo.pop()
-            at = self.order[a:b]
+            at = order[a:b]
             low, high = rows[at].min(0), rows[at].max(0)
             node = len(self.kids)
-            self.lows.append(low), self.highs.append(high), self.first.append(ids[at].min()), self.kids.append([]), self.spans.append((a, b))
+            lows.append(low), highs.append(high), first.append(int(ids[at].min())), self.kids.append([]), self.spans.append((a, b))
             if parent >= 0:
                 self.kids[parent].append(node)
             d = int(np.argmax(high - low))
             if b - a > leaf and high[d] > low[d]:
                 m = (b - a) // 2
-                self.order[a:b] = at[np.argpartition(rows[at, d], m)]
+                order[a:b] = at[np.argpartition(rows[at, d], m)]
                 todo += [(a, a + m, node), (a + m, b, node)]
+        self.ids, self.rows, self.low, self.high, self.least = ids[order], small(rows[order]), small(np.array(lows)), small(np.array(highs)), first
 
 
-def search(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, beat: np.ndarray, beat_id: np.ndarray, k: int, leaf: int = LEAF_ROWS, block: int = 256):
+def search(tree: Tree, q_ids: np.ndarray, q_rows: np.ndarray, beat: np.ndarray, beat_id: np.ndarray, k: int, block: int = 256):
     """(query index, id, score) of up to k rows for each query that come before (beat, beat_id)."""
-    rows, q_rows = exact(rows, q_rows)
-    tree = Tree(ids, rows, leaf)
-    sorted_ids, sorted_rows = ids[tree.order], rows[tree.order]
+    rows, q_rows = exact(tree.rows, q_rows)
+    low, high = tree.low.astype(rows.dtype), tree.high.astype(rows.dtype)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(q_ids), block):
         q = q_rows[start : start + block]
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        least, least_id = beat[start : start + block], beat_id[start : start + block]
-        level, leaves, bounds = [0], [], []
-        while level:
-            at = np.array(level)
-            most = up @ tree.high[at].T + down @ tree.low[at].T
-            open_ = (most > least[:, None]) | ((most == least[:, None]) & (tree.least[at][None, :] < least_id[:, None]))
-            level = []
-            for j in np.flatnonzero(open_.any(0)).tolist():
-                if tree.kids[at[j]]:
-                    level += tree.kids[at[j]]
-                else:
-                    leaves.append(int(at[j]))
-                    bounds.append(most[:, j])
-        if not leaves:
-            continue
-        bounds, nodes = np.stack(bounds, 1), np.array(leaves)
-        order = np.argsort(-bounds, axis=1, kind="stable")
+        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
         for i in range(len(q)):
+            best, own = bounds[i].tolist(), q_ids[start + i]
             got_id, got = np.empty(0, np.int64), np.empty(0, rows.dtype)
-            score, last = least[i], least_id[i]
-            for w in range(0, len(nodes), WAVE):
-                these = order[i, w : w + WAVE]
-                if bounds[i, these[0]] < score:
-                    break
-                use = [n for j, n in zip(these, nodes[these].tolist(), strict=True) if bounds[i, j] > score or (bounds[i, j] == score and tree.least[n] < last)]
-                if not use:
-                    continue
-                at = np.concatenate([np.arange(*tree.spans[n]) for n in use])
-                value, name = sorted_rows[at] @ q[i], sorted_ids[at]
-                ok = ((value > score) | ((value == score) & (name < last))) & (name != q_ids[start + i])
-                got, got_id = np.concatenate([got, value[ok]]), np.concatenate([got_id, name[ok]])
-                if len(got) > k:
-                    best = np.lexsort((got_id, -got))[:k]
-                    got, got_id = got[best], got_id[best]
-                if len(got) == k:
-                    j = np.lexsort((got_id, -got))[-1]
-                    score, last = got[j], got_id[j]
+            score, last = beat[start + i], beat_id[start + i]
+            met, use = [(-best[0], 0)], []
+            while met or use:
+                if met:
+                    bound, node = heapq.heappop(met)
+                    if -bound < score:
+                        met = []  # nor can any other
+                    elif -bound > score or tree.least[node] < last:
+                        if tree.kids[node]:
+                            for kid in tree.kids[node]:
+                                heapq.heappush(met, (-best[kid], kid))
+                        else:
+                            use.append(node)
+                if use and (not met or len(use) == WAVE):
+                    spans = [slice(*tree.spans[n]) for n in use]
+                    value, name = np.concatenate([rows[x] for x in spans]) @ q[i], np.concatenate([tree.ids[x] for x in spans])
+                    use = []
+                    ok = ((value > score) | ((value == score) & (name < last))) & (name != own)
+                    got, got_id = np.concatenate([got, value[ok]]), np.concatenate([got_id, name[ok]])
+                    if len(got) >= k:
+                        first = np.lexsort((got_id, -got))[:k]
+                        got, got_id = got[first], got_id[first]
+                        score, last = got[-1], got_id[-1]
             out.append((np.full(len(got), start + i), got_id, got.astype(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
@@ -118,13 +116,29 @@ def search(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q_rows: np.ndar
 FOUND = "tag long, query_id long, vec_id long, score long"
 
 
-def _met(k: int):
-    def run(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"tag": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        right = right.sort_values("vec_id")
-        i, name, score = search(right.vec_id.to_numpy(), np.stack(right.v), left.vec_id.to_numpy(), np.stack(left.v), left.beat.to_numpy(), left.beat_id.to_numpy(), k)
-        return pd.DataFrame({"tag": left.tag.to_numpy()[i], "query_id": left.vec_id.to_numpy()[i], "vec_id": name, "score": score})
+def _built(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("vec_id")
+    tree = Tree(rows.vec_id.to_numpy(), np.stack(rows.v))
+    return pd.DataFrame({"dim": rows.dim.iloc[:1], "shard": rows.shard.iloc[:1], "tree": [pickle.dumps(tree.__dict__)]})
+
+
+def _asked(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (dim, shard, salt, role, tree, tag, vec_id, v, beat, beat_id) in this order: a tree (role 0) comes before its queries."""
+        key, tree = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            cuts = [i for i, x in enumerate(keys) if not i or x != keys[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if not keys[a][3]:
+                    key, tree = keys[a][:3], Tree.__new__(Tree)
+                    tree.__dict__ = pickle.loads(batch.column(4)[a].as_py())
+                elif keys[a][:3] == key:
+                    part = batch.slice(a, b - a)
+                    tag, name, beat, beat_id = (part.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 8, 9))
+                    v = part.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                    i, vec, score = search(tree, name, v, beat, beat_id, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (tag[i], name[i], vec, score)], names=["tag", "query_id", "vec_id", "score"])
 
     return run
 
@@ -144,23 +158,28 @@ def top_k(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", vec
     kept = Written(spark, "topk")
     rows = kept.table(quantized(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")).withColumn("tag", F.monotonically_increasing_id()))
     n, asked = rows.agg(F.count("*"), F.coalesce(F.sum(query.cast("int")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    placed = rows.withColumn("shard", F.expr(f"int(pmod(xxhash64(vec_id), {shards}))"))
-    asking = rows.where(query).select(*[F.col(c).alias(c) for c in rows.columns])  # names of its own, so that both sides can meet
-    queries = asking.withColumns({"home": F.expr(f"int(pmod(xxhash64(tag, 1), {shards}))"), "block": F.expr(f"int(pmod(xxhash64(tag, 2), {blocks}))")})
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    right = placed.select("dim", "shard", each(blocks).alias("block"), "vec_id", "v")
-    keys = ["dim", "shard", "block"]
-    low = np.iinfo(np.int64).min
-    at_home = queries.select("dim", F.col("home").alias("shard"), "block", "tag", "vec_id", "v", F.lit(low).alias("beat"), F.lit(low).alias("beat_id"))
-    first = kept.table(right.groupBy(*keys).cogroup(at_home.groupBy(*keys)).applyInPandas(_met(k), FOUND))
-    kth = first.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("no"))).alias("last"))
-    kth = kth.where(F.col("n") == k).select("tag", F.col("last.score").alias("beat"), (-F.col("last.no")).alias("beat_id"))
-    away = queries.withColumn("shard", each(shards)).where("shard <> home").join(kth, "tag", "left")
-    away = away.select("dim", "shard", "block", "tag", "vec_id", "v", F.coalesce("beat", F.lit(low)).alias("beat"), F.coalesce("beat_id", F.lit(low)).alias("beat_id"))
-    second = right.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(_met(k), FOUND)
+    shards, salts = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
+    placed = rows.select("dim", F.expr(f"int(pmod(xxhash64(vec_id), {shards}))").alias("shard"), "vec_id", "v")
+    trees = kept.table(placed.groupBy("dim", "shard").applyInPandas(_built, "dim int, shard int, tree binary"))
+    queries = rows.where(query).select("dim", "tag", "vec_id", "v", F.expr(f"int(pmod(xxhash64(tag, 1), {shards}))").alias("home"), F.expr(f"int(pmod(xxhash64(tag, 2), {salts}))").alias("salt"))
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+    low, none = np.iinfo(np.int64).min, lambda kind: F.lit(None).cast(kind)
     rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "vec_id"))
-    return first.union(second).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ["dim", "shard", "salt", "role", "tree", "tag", "vec_id", "v", "beat", "beat_id"]
+    best, done = None, 0
+    while done < shards:
+        after = min(shards, max(1, 2 * done))  # shards asked after this wave: 1, 2, 4, ...
+        asking = queries.withColumns({"beat": F.lit(low), "beat_id": F.lit(low)})
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select("tag", F.col("score").alias("beat"), F.col("vec_id").alias("beat_id"))
+            asking = queries.join(kth, "tag", "left").fillna(low, ["beat", "beat_id"])
+        asking = asking.select("*", each(done, after).alias("step")).withColumns({"shard": F.expr(f"(home + step) % {shards}"), "role": F.lit(1), "tree": none("binary")})
+        ready = trees.select("dim", "shard", each(0, salts).alias("salt"), F.lit(0).alias("role"), "tree", *[none(kind).alias(c) for c, kind in (("tag", "long"), ("vec_id", "long"), ("v", "array<long>"), ("beat", "long"), ("beat_id", "long"))])
+        dealt = ready.unionByName(asking.select(columns)).repartition("dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "role")
+        found = dealt.mapInArrow(_asked(k), FOUND)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best, done = kept.table(found.withColumn("rank", rank).where(F.col("rank") <= k)), after
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """

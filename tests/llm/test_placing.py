@@ -143,5 +143,5 @@ def test_top_k(spark, options):
 def test_scores_stay_exact():
     big = np.array([[2**40, 1], [2**40, 2]], np.int64)
     assert topk.exact(big)[0].dtype == object
-    i, ids, score = topk.search(np.array([1, 2]), np.array([[2**28, 1], [2**28, 2]]), np.array([9]), np.array([[2**28, 3]]), np.array([np.iinfo(np.int64).min]), np.array([0]), 1)
+    i, ids, score = topk.search(topk.Tree(np.array([1, 2]), np.array([[2**28, 1], [2**28, 2]])), np.array([9]), np.array([[2**28, 3]]), np.array([np.iinfo(np.int64).min]), np.array([0]), 1)
     assert ids.tolist() == [2] and score.tolist() == [2**56 + 6]
