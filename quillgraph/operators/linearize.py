@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,22 @@ def first_line(body: list[str], token: str) -> int:
     return next((i for i, line in enumerate(body) if token and pattern.search(line)), NOWHERE)
 
 
+def in_order(body: list[str], tokens: list[str]) -> list[tuple[int, str]]:
+    """(first line or NOWHERE, token) in the order of a linear reading: by first line in the body, then by name."""
+    return sorted((first_line(body, t), t) for t in tokens)
+
+
+def callees_in_order(callees: DataFrame) -> DataFrame:
+    """src, name, line (from 1; null if the body doesn't have it), place (from 1) for rows (src, body, names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(src, name, None if line == NOWHERE else line + 1, n) for src, body, names in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, (line, name) in enumerate(in_order((body or "").split("\n"), names), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["src", "name", "line", "place"])
+
+    return callees.select("src", "body", "names").mapInArrow(run, "src string, name string, line long, place int")
+
+
 class _Writer:
     def __init__(self, symbols: dict, calls: dict, allowed: set | None, body: Callable, options: Options, home: str):
         self.symbols, self.calls, self.allowed, self.body, self.o, self.home = symbols, calls, allowed, body, options, home

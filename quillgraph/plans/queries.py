@@ -12,6 +12,7 @@ from ..operators import contracts, drift, exporting, lookup, resolve, traverse,
 from ..schemas import module_id
 from ..tables import cut, table
 from . import projection as G
+from . import texts
 from .sqlguard import query_sql
 
 # ---------------------------------------------------------------- shared SQL
@@ -481,14 +482,6 @@ def export_all_links(spark, sf_dir):
     return out.select("source", "target", "type", "count")
 
 
-def linearize_order(spark, sf_dir):
-    """For every caller, its callees in order of the first call, then of name."""
-    symbols = G.symbols(spark, sf_dir)
-    found = resolve.resolve_calls(G.calls(spark, sf_dir), symbols).join(symbols.select(F.col("id").alias("dst"), "name"), "dst").where(~P.is_trivial(F.col("name")))
-    place = F.row_number().over(Window.partitionBy("src").orderBy("line", "name", "dst"))
-    return found.select("src", "dst", "line", place.alias("place"))
-
-
 def _tables(spark, sf_dir):
     edges = resolve.call_edges(resolve.resolve_calls(G.calls(spark, sf_dir), G.symbols(spark, sf_dir)), G.PROJECT)
     return {"symbols": G.symbols(spark, sf_dir).drop("key"), "files": G.files(spark, sf_dir), "compartments": G.compartments(spark, sf_dir), "edges": edges}
@@ -513,7 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "est_tokens": est_tokens, "identifiers": identifiers, "cluster_seams": cluster_seams, "contract_tokens": contract_tokens, "contract_text_match": contract_text_match, "contract_token_match": contract_token_match, "enclosing_symbol": enclosing_symbol,
     "contract_references": contract_references, "drift_by_token": drift_by_token, "drift_by_contract": drift_by_contract, "wire_by_roles": _wires(True), "wire_by_server": _wires(False), "contract_edges": contract_edges,
     "referencing_symbols": referencing_symbols, "staleness": staleness, "structural_drift": structural_drift, "stale_seams": stale_seams, "usage_residency": usage_residency, "usage_by_project": usage_by_project,
-    "usage_summary": usage_summary, "adoption_gap": adoption_gap, "export_all_links": export_all_links, "linearize_order": linearize_order, "query_sql_window": _sql(WINDOW), "query_sql_setop": _sql(SETS),
+    "usage_summary": usage_summary, "adoption_gap": adoption_gap, "export_all_links": export_all_links, "query_sql_window": _sql(WINDOW), "query_sql_setop": _sql(SETS),
     "query_sql_semi_anti": _sql(SEMI), "query_sql_cube": _sql(CUBE),
 }
 
@@ -544,6 +537,8 @@ ORACLE_SQL: dict[str, str] = {
     "stale_seams": f"WITH {GRAPH} SELECT DISTINCT compartment FROM symbols WHERE end_line - start_line < 10 AND compartment IN (SELECT s.compartment FROM edges e JOIN symbols s ON s.id = e.src WHERE e.cnt > 1)",
     "usage_residency": RESIDENCY_SQL, "usage_by_project": USAGE_SQL, "usage_summary": SUMMARY_SQL, "adoption_gap": GAP_SQL,
     "export_all_links": f"WITH {GRAPH} SELECT src AS source, dst AS target, 'CALLS' AS type, cnt AS count FROM edges",
-    "linearize_order": f"WITH {GRAPH} SELECT src, dst, line, CAST(row_number() OVER (PARTITION BY src ORDER BY line, name, dst) AS INTEGER) AS place FROM edges JOIN symbols ON id = dst WHERE length(name) > 1",
     "query_sql_window": f"WITH {_SYM} {WINDOW}", "query_sql_setop": f"WITH {_SYM} {SETS}", "query_sql_semi_anti": f"WITH {GRAPH} {SEMI}", "query_sql_cube": f"WITH {_SYM} {CUBE}",
 }
+
+QUERIES |= texts.QUERIES
+ORACLE_SQL |= texts.ORACLE_SQL

@@ -50,6 +50,25 @@ def test_residency_stream(spark, tmp_path):
     assert sorted((r["t"], r["residency"], r["recurring"]) for r in spark.table("closed").collect()) == [(100, 2, 1200.0), (104, 1, 550.0)]
 
 
+def test_residency_stream_of_sessions_without_a_boundary(spark, tmp_path):
+    """A session that just stops is emitted once the watermark has passed its last event by the idle time, and its state goes."""
+    row = lambda t, kind, saved=None, s="a": {"session": s, "t": t, "kind": kind, "saved": saved}
+    src, minute = tmp_path / "in", 60_000
+    lines(src, 1, [row(1 * minute, "read", 1000.0), row(2 * minute, "turn"), row(3 * minute, "read", 10.0)])
+    stream = spark.readStream.schema("session string, t long, kind string, saved double").option("maxFilesPerTrigger", 1).json(str(src))
+    q = residency_stream(stream, idle_ms=30 * minute).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    assert spark.table("idle").count() == 0
+    lines(src, 2, [row(90 * minute, "read", 5.0, "b")])
+    q.processAllAvailable()
+    lines(src, 3, [row(91 * minute, "turn", None, "b")])
+    q.processAllAvailable()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    drain(q)
+    assert sorted((r["session"], r["t"], r["residency"], r["recurring"]) for r in spark.table("idle").collect()) == [("a", minute, 1, 1100.0), ("a", 3 * minute, 0, 10.0)]
+    assert rows[-1] == 1
+
+
 def test_windows(spark, tmp_path):
     hour = 3_600_000
     lines(tmp_path / "in", 1, [{"t": 1, "kind": "use", "savedTokens": 5}, {"t": 2, "kind": "use", "savedTokens": 6}, {"t": hour + 1, "kind": "turn", "savedTokens": 0}])
