@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import remember, shared_dir, table
+from ..tables import delete, remember, shared_dir, table
 
 __all__ = ["Written", "bounded_batches", "components", "joined_components", "numbered", "table"]
 
@@ -27,7 +27,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Written:
-    """Tables written to the shared folder during one operator call; they go when the program ends."""
+    """Tables written to the shared folder during one operator call; they go with `clear`, or else when the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -43,6 +43,10 @@ class Written:
     def table(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         return self.write(df, codec)[0]
 
+    def clear(self) -> None:
+        """Removes the tables, when nothing reads them any more."""
+        delete(self.spark, self.root)
+
 
 def components(links: DataFrame, kept: Written, max_rounds: int = 60) -> DataFrame:
     """(node, root), a written table: the smallest node that each node of `links` (a, b) reaches.

@@ -20,6 +20,8 @@ equal rates and copies. An empty table gives an empty result. Added columns repl
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF
@@ -34,6 +36,9 @@ BUCKETS = 4_096
 FOLD = 12
 MAX_STEPS = 60
 TOLERANCE = 1e-6
+#: The shortest share of a step that is tried, and the relative miss from which the caller is warned.
+SHORTEST = 0.25
+MISSED = 1e-3
 COVER = 1.1
 
 
@@ -111,12 +116,12 @@ def fit_rates(table: DataFrame, weights: list[float], kept: Written, total: floa
     target = w * (now.sum() if total is None else total)
     miss = lambda x: float(np.linalg.norm((x - target)[some]) / max(1.0, target.max(initial=1.0)))
     steps: list[np.ndarray] = []
-    rows, folded, idle, safe = table.select(tokens, posterior, one.alias("__r")), 0, 0, False
+    rows, folded, idle, safe, share = table.select(tokens, posterior, one.alias("__r")), 0, 0, False, 1.0
     for _ in range(MAX_STEPS):
         size = miss(now)
         if size < TOLERANCE or idle >= 4:
             break
-        step = inverse(whole if safe else h) @ (now - target)
+        step = share * (inverse(whole if safe else h) @ (now - target))
         if len(steps) - folded >= FOLD:
             rows = kept.table(rows.withColumn("__r", rate(F.col("__r"), steps[folded:], posterior, least)))
             folded = len(steps)
@@ -124,11 +129,15 @@ def fit_rates(table: DataFrame, weights: list[float], kept: Written, total: floa
         if miss(new) < size:
             idle = idle + 1 if miss(new) > 0.98 * size else 0
             steps.append(step)
-            now, h, safe = new, new_h, False
-        elif safe:
-            break
-        else:
+            now, h, safe, share = new, new_h, False, 1.0
+        elif not safe:
             safe = True
+        elif share > SHORTEST:
+            share /= 2
+        else:
+            break
+    if miss(now) >= MISSED:
+        warnings.warn(f"the targets can't be met within the bounds of the rates: totals {now.round(1).tolist()}, targets {target.round(1).tolist()}", stacklevel=3)
     return steps, now, target
 
 

@@ -42,7 +42,7 @@ MISS = 1e-9
 TOP = np.uint64(1 << 63)
 #: Set elements on one side of a block of step 4 (8 bytes each), at most; and rows on it, or twice the root of the family's size if that is more.
 BLOCK = 1_000_000
-BLOCK_ROWS = 128
+BLOCK_ROWS = 256
 #: Members compared with one copy of their hub's set in one task.
 SALT_ROWS = 100
 #: A family with more unlinked members than this is first compared within small blocks, in so many rounds at most.
@@ -186,18 +186,13 @@ def _cross(num: int, den: int):
     return run
 
 
-def _rows(star: DataFrame, comp: DataFrame) -> DataFrame:
-    """hub, cid, comp, apart of every member of a family, its hub included. apart: not yet connected with the hub."""
-    both = star.select("hub", "cid").union(star.select("hub", F.col("hub").alias("cid")).distinct())
+def _families(members: DataFrame, comp: DataFrame, kept: Written) -> tuple[DataFrame, DataFrame]:
+    """hub, cid, n_shingles, comp, apart (not yet connected with the hub) of `members` (hub, cid, n_shingles), the hubs included; and of each hub with
+    unlinked members: their number u, lefts and rights (blocks for these and for all members)."""
     label = lambda key: comp.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
-    both = both.join(label("cid"), "cid", "left").join(label("hub"), "hub", "left")
-    both = both.select("hub", "cid", F.coalesce("cid_root", "cid").alias("comp"), F.coalesce("hub_root", "hub").alias("own"))
-    return both.select("hub", "cid", "comp", (F.col("comp") != F.col("own")).alias("apart"))
-
-
-def _families(star: DataFrame, comp: DataFrame, size: DataFrame, kept: Written) -> tuple[DataFrame, DataFrame]:
-    """The rows of `_rows` with n_shingles, and of each hub with unlinked members: their number u, lefts and rights (blocks for these and for all members)."""
-    both = kept.table(_rows(star, comp).join(size, "cid"))
+    both = members.join(label("cid"), "cid", "left").join(label("hub"), "hub", "left")
+    both = both.select("hub", "cid", "n_shingles", F.coalesce("cid_root", "cid").alias("comp"), F.coalesce("hub_root", "hub").alias("own"))
+    both = kept.table(both.select("hub", "cid", "n_shingles", "comp", (F.col("comp") != F.col("own")).alias("apart")))
     side = F.greatest(F.lit(BLOCK_ROWS), F.ceil(2 * F.sqrt(F.col("n"))))
     parts = lambda n, total: F.greatest(F.ceil(F.col(n) / side), F.ceil(F.col(total) / BLOCK)).cast("int")
     elements = F.sum(F.when(F.col("apart"), F.col("n_shingles")).otherwise(0))
@@ -223,9 +218,10 @@ def rest(both: DataFrame, family: DataFrame, sets: DataFrame, num: int, den: int
 def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str, words: int, num: int, den: int, k: int, lower: bool) -> tuple[DataFrame, DataFrame]:
     """own: doc_id, n_shingles, digest; classes: digest, first (smallest doc_id) and th (its text's hash), component (smallest doc_id reached), keep (the component's first class)."""
     bounded_batches(docs.sparkSession)
+    result, kept = kept, Written(docs.sparkSession, "near-steps")
     t = num / den
     o = least_overlap(k, t)
-    own = kept.table(sketches(docs, id_col, text_col, words, k, lower))
+    own = result.table(sketches(docs, id_col, text_col, words, k, lower))
     classes = own.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = classes.select("digest", F.col("one.doc_id").alias("first"), F.col("one.th").alias("th"), "n_shingles", "sketch", F.monotonically_increasing_id().alias("cid"))
     classes = kept.table(classes)
@@ -251,15 +247,16 @@ def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str
     sets = kept.table(full_sets(docs, classes.join(wanted, "cid", "left_semi").select("cid", "digest", "first", "th"), id_col, text_col, words, lower))
 
     comp = components(verified(near, sets, kept, num, den), kept)
-    size = classes.select("cid", "n_shingles")
+    members = star.select("hub", "cid").union(star.select("hub", F.col("hub").alias("cid")).distinct())
+    members = kept.table(members.join(classes.select("cid", "n_shingles"), "cid"))
     for turn in range(ROUNDS):
-        both, family = _families(star, comp, size, kept)
+        both, family = _families(members, comp, kept)
         found = kept.table(near_by(both, family, sets, turn, num, den))
         if found.isEmpty():
             break
         comp = joined_components(comp, found, kept)
     else:
-        both, family = _families(star, comp, size, kept)
+        both, family = _families(members, comp, kept)
     more = kept.table(rest(both, family, sets, num, den))
     if not more.isEmpty():
         comp = joined_components(comp, more, kept)
@@ -268,7 +265,9 @@ def classes_and_links(docs: DataFrame, kept: Written, id_col: str, text_col: str
     labelled = classes.select("digest", "cid", "first", "th").join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(top, "root", "left")
     alone = F.col("top").isNull()
     labelled = labelled.select("digest", "first", "th", F.when(alone, F.col("first")).otherwise(F.col("top.first")).alias("component"), (alone | (F.col("cid") == F.col("top.cid"))).alias("keep"))
-    return own, kept.table(labelled)
+    labelled = result.table(labelled)
+    kept.clear()
+    return own, labelled
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, k: int = 64, lower: bool = True) -> DataFrame:
