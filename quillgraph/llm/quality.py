@@ -4,12 +4,13 @@ Trusted positives are texts labelled good; everything else counts as unlabelled
 class prior p, the risk of a scorer g is p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)]): the
 second part is the risk on bad texts, which can't be negative. The prior is estimated from the share of
 unlabelled texts among the highest scores of a positive-against-unlabelled model (the smallest ratio
-of the two tails, with a confidence margin). The scorer is logistic in features of the whole text:
+of the two tails, with a confidence margin); these tails are counted over all rows that are neither
+held out nor among the at most MAX_UNLABELLED / 2 rows which that model learnt from. The scorer is logistic in features of the whole text:
 how often each kind of byte follows each other kind, repetition of words and neighbouring words,
 lengths of words, lines and text. No feature depends on id, source, language or label columns.
 
-Fitting uses at most MAX_POSITIVE labelled and MAX_UNLABELLED unlabelled rows, the first in order of a hash of
-their ids; scoring reads every text once, without a shuffle.
+Weights are fitted on at most MAX_POSITIVE labelled and MAX_UNLABELLED unlabelled rows, the first in order of a hash of
+their ids; of repeated ids one row. Counting the tails and scoring read every text once each, without a shuffle of texts.
 
 Defined results: null and empty texts have the features of an empty text and get a score. A null doc_id is not held out and
 never labelled. Labels of 0 or null are not read as negatives. Without a labelled positive every score is 1: nothing speaks
@@ -18,7 +19,7 @@ against any text. Repeated rows get equal scores. Other columns are not read. An
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -90,52 +91,102 @@ def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int,
     return w
 
 
+def _bins(cuts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many of `values` reach none, one, two, ... of the ascending `cuts`."""
+    return np.bincount(np.searchsorted(cuts, values, "right"), minlength=len(cuts) + 1)
+
+
+def _prior(pos: np.ndarray, cuts: np.ndarray, bins: np.ndarray, delta: float) -> float:
+    n = bins.sum()
+    qp = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
+    qu = np.cumsum(bins[::-1])[::-1][1:] / n
+    margin = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(n))
+    best = np.argmin((qu + margin) / qp)  # no cut is beyond the highest positive, so qp > 0
+    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+
+
 def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
     """The smallest ratio of the tails of the two score samples, with a margin for their sizes."""
     cuts = np.unique(pos)
-    qp = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
-    qu = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
-    margin = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
-    ok = qp > 0
-    best = np.argmin((qu[ok] + margin) / qp[ok])
-    return float(np.clip(qu[ok][best] / qp[ok][best], 0.01, 0.99))
+    return _prior(pos, cuts, _bins(cuts, unl), delta)
+
+
+class Linear:
+    """A linear function of standardized features."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+        self.mean, self.scale, self.w = mean, scale, w
+
+    def value(self, x: np.ndarray) -> np.ndarray:
+        return _design(x, self.mean, self.scale) @ self.w[:-1] + self.w[-1]
 
 
-class Model:
-    def __init__(self, pos: np.ndarray, unl: np.ndarray):
+class Model(Linear):
+    def __init__(self, pos: np.ndarray, unl: np.ndarray, count: Callable[[Linear, np.ndarray], np.ndarray], delta: float = 0.1):
+        """`count` gives the `_bins` of the corpus' values under a function fitted on every second row of `unl`, for given cuts."""
         both = np.vstack([pos, unl])
-        self.mean, self.scale = both.mean(0), both.std(0) + 0.01
-        p, u = _design(pos, self.mean, self.scale), _design(unl, self.mean, self.scale)
-        w = _descend(p[::2], u[::2], None, 200)
-        value = lambda x: x @ w[:-1] + w[-1]
-        self.prior = class_prior(value(p[1::2]), value(u[1::2])) if len(p) > 1 and len(u) > 1 else 0.5
-        self.w = _descend(p, u, self.prior, 600)
+        mean, scale = both.mean(0), both.std(0) + 0.01
+        p, u = _design(pos, mean, scale), _design(unl, mean, scale)
+        self.prior = 0.5
+        if len(p) > 1 and len(u) > 1:
+            first = Linear(mean, scale, _descend(p[::2], u[::2], None, 200))
+            own = first.value(pos[1::2])
+            cuts = np.unique(own)
+            self.prior = _prior(own, cuts, count(first, cuts), delta)
+        super().__init__(mean, scale, _descend(p, u, self.prior, 600))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = _design(x, self.mean, self.scale) @ self.w[:-1] + self.w[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.value(x), -40, 40)))
 
 
-def _collect(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the rows of `docs` with one of the ids, which are bounded in number."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(ids), "id", "left_semi").select("text")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _chosen(ids: DataFrame, n: int) -> DataFrame:
+    return ids.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct().orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(n)
+
+
+def _collect(rows: DataFrame, ids: DataFrame) -> tuple[list, np.ndarray]:
+    """The ids found in `rows` (id, text), which are bounded in number, in order of a hash; and the features of one row of each."""
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _table()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, kinds).astype("<f4").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t, kinds).astype("<f4").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "f"])
+
+    found = rows.join(F.broadcast(ids), "id", "left_semi").mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("f", T.BinaryType())]))
+    got = found.groupBy("id").agg(F.min("f").alias("f")).orderBy(F.xxhash64(F.lit(5), "id"), "id").collect()
+    return [r[0] for r in got], np.array([np.frombuffer(r[1], "<f4") for r in got], np.float64).reshape(len(got), N_FEATURES)
 
-    got = [r[0] for r in rows.mapInArrow(run, "f binary").limit(4 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()]
-    return np.array([np.frombuffer(f, "<f4") for f in got], np.float64).reshape(len(got), N_FEATURES)
+
+def _counted(rows: DataFrame, learnt: list, first: Linear, cuts: np.ndarray) -> np.ndarray:
+    """`_bins` over all of `rows` (id, text) but the held out ones and those with an id in `learnt`; one row per bin and task moves."""
+    known = rows.sparkSession.createDataFrame([(i,) for i in learnt], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))
+    rest = rows.where(~held_out(F.col("id"))).join(F.broadcast(known), "id", "left_anti").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, sums = _table(), np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                sums += _bins(cuts, first.value(np.array([features(t, kinds) for t in batch.column(0).to_pylist()])))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["bin", "n"])
+
+    out = np.zeros(len(cuts) + 1, np.int64)
+    for at, n in rest.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        out[at] = n
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """From rows that are not held out; None without a positive."""
     bounded_batches(docs.sparkSession)
-    some = lambda df, n: df.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct().orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(n)
-    pos = _collect(docs, some(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")), MAX_POSITIVE), id_col, text_col)
-    unl = _collect(docs, some(docs.select(F.col(id_col).alias("id")), MAX_UNLABELLED), id_col, text_col)
-    return Model(pos, unl) if len(pos) and len(unl) else None
+    rows = _texts(docs, id_col, text_col)
+    _, pos = _collect(rows, _chosen(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")), MAX_POSITIVE))
+    ids, unl = _collect(rows, _chosen(rows.select("id"), MAX_UNLABELLED))
+    return Model(pos, unl, lambda first, cuts: _counted(rows, ids[::2], first, cuts)) if len(pos) and len(unl) else None
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -47,6 +47,27 @@ def test_quality_edge_cases(docs, rows, none, corpus):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_tails_are_counted_over_all_rows(spark, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_UNLABELLED", 40)
+    docs, labels = corpus
+    many = docs.unionByName(docs)
+    seen = {}
+
+    def counted(rows, learnt, first, cuts):
+        seen.update(learnt=learnt, first=first, cuts=cuts, bins=count(rows, learnt, first, cuts))
+        return seen["bins"]
+
+    count = quality._counted
+    monkeypatch.setattr(quality, "_counted", counted)
+    quality.fit(many, labels)
+    assert len(seen["learnt"]) == 20
+    kinds = quality._table()
+    rows = many.where(~quality.held_out(F.col("doc_id"))).select("doc_id", "text").collect()
+    value = [seen["first"].value(quality.features((r["text"] or "").encode(), kinds)[None])[0] for r in rows if r["doc_id"] not in seen["learnt"]]
+    assert seen["bins"].sum() == len(value)
+    assert np.abs(np.cumsum(seen["bins"]) - np.cumsum(quality._bins(seen["cuts"], np.array(value)))).max() <= 2  # ties to a cut may round apart
+
+
 def test_class_prior():
     rng = np.random.default_rng(1)
     pos, neg = rng.normal(3, 1, 4000), rng.normal(-3, 1, 4000)
