@@ -33,7 +33,7 @@ def adjacency(edges: DataFrame, direction: str = "out") -> DataFrame:
 def reach(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "out", include_tests: bool = False) -> DataFrame:
     """id, depth of all symbols within depth + 1 hops of `seeds` (id); tests are neither listed nor passed unless asked for, the seeds always."""
     hops = clamp(depth, 1, 8, 3) + 1
-    adj = adjacency(edges, direction).select("near", "far").distinct()
+    adj = adjacency(edges, direction).select("near", "far")  # each hop drops repeats, so that all edges need not be shuffled for it
     open_ = symbols if include_tests else symbols.where(~is_test(F.col("file")))
     adj = cut(adj.join(open_.select(F.col("id").alias("far")), "far", "left_semi"))
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
@@ -55,7 +55,7 @@ def shortest_path(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hop
     """
     hops = clamp(max_hops, 1, 20, 12)
     one = edges.where(F.col("type").isin(*types)).select("src", "dst")
-    both = cut(one.union(one.select("dst", "src")).where("src <> dst").distinct())
+    both = cut(one.union(one.select("dst", "src")).where("src <> dst"))
     level = cut(starts.select("id").distinct().select("id", F.lit(None).cast("string").alias("prev"), F.lit(0).alias("hop")))
     levels = [level]
     goals = cut(goals.select("id").distinct())
