@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..tables import delete, remember, shared_dir, table
 
-__all__ = ["Written", "bounded_batches", "components", "joined_components", "numbered", "table"]
+__all__ = ["Written", "bounded_batches", "bounded_groups", "components", "joined_components", "numbered", "table"]
 
 
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame], list[str]]:
@@ -26,6 +26,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
+#: Bytes of a row group of Parquet files.
+ROW_GROUP = 16 << 20
+
+
+def bounded_groups(spark: SparkSession) -> None:
+    """Row groups of a bounded size in files written from now on, the caller's too, unless a size is set: a writer holds a whole one, and by
+    default that is 128 MB or all that its task writes. Many tasks that write texts do not fit a small heap so."""
+    if spark.conf.get("parquet.block.size", None) is None and spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size") is None:
+        spark.conf.set("parquet.block.size", ROW_GROUP)
+
+
 class Written:
     """Tables written to the shared folder during one operator call; they go with `clear`, or else when the program ends."""
 

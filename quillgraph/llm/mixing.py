@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, numbered
+from .common import Written, bounded_groups, numbered
 
 MAX_LABELLED = 4_000
 BUCKETS = 4_096
@@ -158,6 +158,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | str | None = "cover", least: float = 1.0) -> DataFrame:
     """The rows of `docs`, each repeated as often as its rate says."""
+    bounded_groups(docs.sparkSession)
     kept = Written(docs.sparkSession, "mixing")
     domains = sorted(weights)
     model = fit(docs, labelled, domains)

@@ -2,11 +2,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillgraph.llm import mixing, pii, quality, warc
+from quillgraph.llm import common, mixing, pii, quality, warc
 from quillgraph.llm.common import Written
 
 DIR = "/root/testdata/sf0.01"
@@ -267,3 +268,16 @@ def test_revisits_against_a_plain_search(spark):
         if kind == "revisit":
             best = max(((x[2], x[0], x[4]) for x in rows if x[3] == "response" and x[1] == u and x[2] < t), default=None)
             assert got[i] == ((best[1], "resolved" if best[2] == h else "mismatch") if best else (None, "no_response"))
+
+
+def test_mixed_texts_leave_in_bounded_row_groups(spark, tmp_path):
+    """A task that writes many texts holds no more than a bounded row group of them, in the caller's files too."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda x: F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("-"), x.cast("string")), 256)), " ")
+    docs = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), F.lit(None).alias("text")).withColumn("text", text)
+    labelled = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("domain")).limit(20)
+    mixing.mixed(docs, labelled, {"a": 1, "b": 1}).coalesce(1).write.parquet(f"{tmp_path}/out")
+    (path,) = (tmp_path / "out").glob("*.parquet")
+    found = pq.ParquetFile(path).metadata
+    sizes = [found.row_group(i).column(j).total_compressed_size for i in range(found.num_row_groups) for j in range(found.num_columns)]
+    assert sum(sizes) > 25e6 and max(sizes) < 2 * common.ROW_GROUP
+    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id").collect()} == set(range(900))
