@@ -10,7 +10,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from .traverse import neighbor_compartments, reach
 ENTRY_NAMES = "execute invoke run handle process start onEvent dispatch main".split()
 CONSTRUCTORS = ("<init>", "constructor", "__init__")
 NOWHERE = 10**9
+WORD = re.compile(r"\w+")
+#: Bodies whose rows are made at a time.
+BODIES = 256
 
 
 class Unresolved(ValueError):
@@ -69,18 +74,56 @@ def first_line(body: list[str], token: str) -> int:
     return next((i for i, line in enumerate(body) if token and pattern.search(line)), NOWHERE)
 
 
-def in_order(body: list[str], tokens: list[str]) -> list[tuple[int, str]]:
-    """(first line or NOWHERE, token) in the order of a linear reading: by first line in the body, then by name."""
-    return sorted((first_line(body, t), t) for t in tokens)
+class FirstLines:
+    """The first line (from 0) of each of `names` in bodies, as `first_line` finds it; a body's words are taken once, for all names."""
+
+    def __init__(self, names: list[str]):
+        self.at = {n: i for i, n in enumerate(names) if WORD.fullmatch(n)}
+        self.odd = [(i, n) for i, n in enumerate(names) if n and n not in self.at]  # not single words: each is sought by itself
+
+    def of(self, body: str) -> Iterator[tuple[int, int]]:
+        """(index of the name, line) of the names that the body has."""
+        lines, left = body.split("\n"), set(self.at)
+        for i, line in enumerate(lines):
+            if met := left.intersection(WORD.findall(line)):
+                yield from ((self.at[n], i) for n in met)
+                left -= met
+                if not left:
+                    break
+        for n, name in self.odd:
+            if (i := first_line(lines, name)) != NOWHERE:
+                yield n, i
 
 
 def callees_in_order(callees: DataFrame) -> DataFrame:
-    """src, name, line (from 1; null if the body doesn't have it), place (from 1) for rows (src, body, names)."""
+    """src, name, line (from 1; null if the body doesn't have it), place (from 1) for rows (src, body, names): in the order of a linear
+    reading, by first line in the body, then by name. A null body has no lines; no name or a null one gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(src, name, None if line == NOWHERE else line + 1, n) for src, body, names in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, (line, name) in enumerate(in_order((body or "").split("\n"), names), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["src", "name", "line", "place"])
+            for at in range(0, batch.num_rows, BODIES):
+                part = batch.slice(at, BODIES)
+                names = part.column(2)
+                coded = names.flatten().dictionary_encode()
+                known = coded.dictionary.to_pylist()
+                rank = np.empty(len(known), np.int64)
+                rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+                reader = FirstLines(known)
+                lengths = pc.fill_null(pc.list_value_length(names), 0).to_numpy()
+                row, code = np.repeat(np.arange(len(lengths)), lengths), coded.indices.fill_null(-1).to_numpy()
+                first = np.full((len(lengths), len(known) + 1), NOWHERE, np.int64)  # the last column is for null names
+                for i, body in enumerate(part.column(1).to_pylist()):
+                    if lengths[i]:
+                        for n, line in reader.of(body or ""):
+                            first[i, n] = line
+                row, code = row[code >= 0], code[code >= 0]
+                line = first[row, code]
+                order = np.lexsort((rank[code], line, row))
+                row, code, line = row[order], code[order], line[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(code)), pa.array(line + 1, mask=line == NOWHERE), pa.array(place, pa.int32())], names=["src", "name", "line", "place"]
+                )
 
     return callees.select("src", "body", "names").mapInArrow(run, "src string, name string, line long, place int")
 

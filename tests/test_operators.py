@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
-from quillgraph.operators import contracts, drift, exporting, imports, resolve, traverse, usage
+from quillgraph.operators import contracts, drift, exporting, imports, linearize, resolve, traverse, usage
 
 SYM = "id string, compartment string, file string, name string, kind string, start_line long, end_line long"
 
@@ -225,3 +225,21 @@ def test_summary_and_gap(spark):
 def test_collapse(spark):
     links = spark.createDataFrame([("a", "b", "CALLS", None, None, None, 2), ("a", "b", "CALLS", None, None, None, 3), ("a", "c", "REFERENCES", "x", None, None, None), ("a", "c", "REFERENCES", "y", None, None, None), ("a", "c", "REFERENCES", "y", None, None, None)], "source string, target string, type string, token string, contract string, direction string, count long")
     assert {(r["target"], r["count"], tuple(r["tokens"])) for r in exporting.collapse(links, True).collect()} == {("b", 5, ()), ("c", 2, ("x", "y"))}
+
+
+def test_callees_in_order(spark):
+    names = ["b", "a", "x-y", "é1", "zz", "", None, "a"]
+    rows = [("1", "zz a\nb.x-y é1\na", names), ("2", None, names), ("3", "aa b_ \n\nzza", ["zz", "b"]), ("4", "a", []), ("5", "a", None), (None, "b a\r\na", ["a", "b"]), ("7", "x\ny-x-y", ["x-y"])]
+    got = linearize.callees_in_order(spark.createDataFrame(rows, "src string, body string, names array<string>").coalesce(1)).collect()
+    want = []
+    for src, body, own in rows:
+        for place, (line, n) in enumerate(sorted((linearize.first_line((body or "").split("\n"), n), n) for n in own or () if n is not None), 1):
+            want.append((src, n, None if line == linearize.NOWHERE else line + 1, place))
+    assert list(map(tuple, got)) == want
+
+
+def test_callees_in_order_reads_a_body_once(monkeypatch):
+    """Names in any number are not sought one by one."""
+    reader = linearize.FirstLines([f"n{i}" for i in range(20_000)])
+    monkeypatch.setattr(linearize, "first_line", None)
+    assert dict(reader.of("\n".join(f"n{i} n{i + 1} m{i}" for i in range(0, 19_000, 2)))) == {i: i // 2 for i in range(19_000)}
