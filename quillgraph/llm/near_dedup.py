@@ -42,12 +42,12 @@ MISS = 1e-9
 TOP = np.uint64(1 << 63)
 #: Set elements on one side of a block of step 4 (8 bytes each), at most; and rows on it, or twice the root of the family's size if that is more.
 BLOCK = 1_000_000
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: Members compared with one copy of their hub's set in one task.
 SALT_ROWS = 100
 #: A family with more unlinked members than this is first compared within small blocks, in so many rounds at most.
 FEW = 32
-ROUNDS = 2
+ROUNDS = 3
 
 
 def least_overlap(k: int, t: float) -> int:

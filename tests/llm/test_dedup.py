@@ -142,3 +142,15 @@ def test_packets():
     b = np.arange(500, dtype=np.int64) - 250
     got = substring_dedup.unpack(substring_dedup.pack(a, b), np.uint64, np.int64)
     assert (got[0] == a).all() and (got[1] == b).all()
+
+
+def test_blocks_of_a_family_repeat_few_rows(spark):
+    """A family that no hub has linked is compared in blocks; its rows are not repeated many times for them."""
+    kept = Written(spark, "t")
+    members = spark.range(1000).selectExpr("0L AS hub", "id AS cid", "10L AS n_shingles")
+    both, family = near_dedup._families(members, spark.createDataFrame([], "node long, root long"), kept)
+    (one,) = family.collect()
+    assert one["u"] == 999
+    sets = spark.range(1000).selectExpr("id AS cid", "cast('' AS binary) AS values")
+    assert one["u"] * one["rights"] + 1000 * one["lefts"] <= 2 * 1000
+    assert near_dedup.rest(both, family, sets, 8, 10).count() == 0
