@@ -151,6 +151,6 @@ def test_blocks_of_a_family_repeat_few_rows(spark):
     both, family = near_dedup._families(members, spark.createDataFrame([], "node long, root long"), kept)
     (one,) = family.collect()
     assert one["u"] == 999
-    sets = spark.range(1000).selectExpr("id AS cid", "cast('' AS binary) AS values")
+    sets = spark.range(1000).selectExpr("id AS cid", "unhex(lpad(hex(cid + 1), 16, '0')) AS values")
     assert one["u"] * one["rights"] + 1000 * one["lefts"] <= 2 * 1000
     assert near_dedup.rest(both, family, sets, 8, 10).count() == 0
